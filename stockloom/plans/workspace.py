@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockloom.operators import analyzers as an, datasets as ds
+from stockloom.operators import analyzers as an, datasets as ds, stock_views as sv, transfers as tr
 from stockloom.sources.star import StarTables
 
 
@@ -70,3 +70,42 @@ class Workspace:
     @cached_property
     def slow_moving(self) -> DataFrame:
         return an.slow_moving_items(self.base)
+
+    @cached_property
+    def low_stock_alerts(self) -> DataFrame:
+        r = self.raw
+        return sv.low_stock_alerts(r.inventory, r.products, r.stores, r.sales, r.suppliers)
+
+    @cached_property
+    def store_view(self) -> DataFrame:
+        r = self.raw
+        return sv.store_inventory_view(r.inventory, r.products, r.stores, r.suppliers, r.sales)
+
+    @cached_property
+    def transfer_analysis(self) -> DataFrame:
+        r = self.raw
+        return tr.transfer_analysis(r.inventory, r.sales, r.stores, r.products)
+
+    @cached_property
+    def opportunities(self) -> DataFrame:
+        return tr.transfer_opportunities(self.transfer_analysis)
+
+    @cached_property
+    def exclusive_items(self) -> DataFrame:
+        r = self.raw
+        return tr.exclusive_items(r.inventory, r.products, r.stores)
+
+    @cached_property
+    def alternative_candidates(self) -> DataFrame:
+        r = self.raw
+        return tr.alternative_candidates(r.inventory, r.products, r.stores)
+
+    @cached_property
+    def surplus_stock(self) -> DataFrame:
+        r = self.raw
+        return tr.surplus_stock(r.inventory, r.products, r.stores)
+
+    @cached_property
+    def alternative_availability(self) -> DataFrame:
+        r = self.raw
+        return tr.alternative_availability(r.inventory, r.products, r.stores, self.low_stock_alerts)
