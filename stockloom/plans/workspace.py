@@ -6,7 +6,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockloom.operators import analyzers as an, datasets as ds, stock_views as sv, transfers as tr
+from stockloom.operators import analyzers as an, datasets as ds, recommend as rc, stock_views as sv, transfers as tr
+from stockloom.sources import tables as tb
+from stockloom.session import published
 from stockloom.sources.star import StarTables
 
 
@@ -15,16 +17,22 @@ class Workspace:
 
     def __init__(self, raw):
         self.raw = raw
+        self._records: dict[str, DataFrame] = {}
 
     @classmethod
     def from_star(cls, spark: SparkSession, sf_dir: str) -> "Workspace":
         return cls(StarTables(spark, sf_dir))
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name == "raw":
+        if name.startswith("_") or name == "raw":
             raise AttributeError(name)
         return getattr(self.raw, name)
 
+    @cached_property
+    def run(self) -> "Run":
+        """The same datasets for a whole agent run: shared inputs are written once and read back."""
+        return Run(self.raw)
+
     @cached_property
     def current_inventory(self) -> DataFrame:
         r = self.raw
@@ -109,3 +117,91 @@ class Workspace:
     def alternative_availability(self) -> DataFrame:
         r = self.raw
         return tr.alternative_availability(r.inventory, r.products, r.stores, self.low_stock_alerts)
+
+    # --- recommendations ---
+
+    def records(self, kind: str) -> DataFrame:
+        """One generator's records."""
+        if kind not in self._records:
+            self._records[kind] = getattr(self, f"_make_{kind}")()
+        return self._records[kind]
+
+    def _make_reorder(self) -> DataFrame:
+        return rc.reorder(self.low_stock)
+
+    def _make_transfer(self) -> DataFrame:
+        return rc.transfer(self.current_inventory, self.low_stock)
+
+    def _make_exclusive_availability(self) -> DataFrame:
+        return rc.exclusive(self.exclusive_items)
+
+    def _make_alternative_option(self) -> DataFrame:
+        return rc.alternative(self.low_stock, self.alternative_candidates)
+
+    def _make_discount(self) -> DataFrame:
+        return rc.discount(self.slow_moving, self.overstock)
+
+    def _make_clearance(self) -> DataFrame:
+        return rc.clearance(self.dead_stock)
+
+    def _make_supplier_risk_alert(self) -> DataFrame:
+        return rc.supplier_risk(self.product_performance, self.raw.suppliers)
+
+    def _make_overstock_alert(self) -> DataFrame:
+        return rc.overstock_alert(self.overstock)
+
+    def _make_stockout_prevention_alert(self) -> DataFrame:
+        return rc.stockout_alert(self.stockout)
+
+    @cached_property
+    def recommendation_records(self) -> DataFrame:
+        return rc.union_all([self.records(t) for t in rc.TYPE_ORDER])
+
+    @cached_property
+    def recommendations(self) -> DataFrame:
+        return rc.with_ids(self.recommendation_records)
+
+    @cached_property
+    def supplier_context(self) -> DataFrame:
+        return rc.supplier_context(self.product_performance, self.raw.suppliers)
+
+    @cached_property
+    def procurement_records(self) -> DataFrame:
+        return rc.procurement(self.low_stock, self.supplier_context)
+
+    def agent_records(self, agent: str) -> DataFrame:
+        if agent == "procurement_agent":
+            return self.procurement_records
+        return rc.tagged(rc.union_all([self.records(t) for t in rc.AGENT_TYPES[agent]]), agent)
+
+    @cached_property
+    def agent_recommendations(self) -> DataFrame:
+        return rc.standardized(rc.union_all([self.agent_records(a) for a in rc.AGENT_TYPES]))
+
+    @cached_property
+    def analyzer_counts(self) -> DataFrame:
+        return an.analyzer_counts(self.base)
+
+    @cached_property
+    def health(self) -> DataFrame:
+        """Health over the raw tables and the analyzer outputs."""
+        raw = ["inventory", "products", "sales", "stores", "suppliers", "transactions"]
+        counts = tb.table_counts({t: getattr(self.raw, t) for t in raw}).unionByName(self.analyzer_counts)
+        return tb.table_health(counts, len(raw) + len(an.ANALYZERS))
+
+
+class Run(Workspace):
+    """A workspace whose shared inputs are published tables, so that the many branches of a run read
+    finished columns instead of repeating the joins and aggregations below them."""
+
+    @cached_property
+    def current_inventory(self) -> DataFrame:
+        return published(Workspace.current_inventory.func(self))
+
+    @cached_property
+    def sales_summary(self) -> DataFrame:
+        return published(Workspace.sales_summary.func(self))
+
+    @cached_property
+    def base(self) -> DataFrame:
+        return published(Workspace.base.func(self))

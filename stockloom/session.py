@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,9 +29,8 @@ def local_session(cores: str = "8", **conf) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage at a reliable checkpoint in the folder the cluster names."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder on storage that every executor reaches."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,4 +39,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="stockloom-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage at a reliable checkpoint."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def published(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write a table once and read it back: it cuts the lineage, survives lost executors, and later
+    scans still prune columns and push filters."""
+    spark = df.sparkSession
+    path = folder or f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
