@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stockloom.operators import analyzers as an, datasets as ds, recommend as rc, stock_views as sv, transfers as tr
+from stockloom.operators import analyzers as an, datasets as ds, memory as me, recommend as rc, stock_views as sv, transfers as tr
 from stockloom.sources import tables as tb
 from stockloom.session import published
 from stockloom.sources.star import StarTables
@@ -189,6 +189,45 @@ class Workspace:
         counts = tb.table_counts({t: getattr(self.raw, t) for t in raw}).unionByName(self.analyzer_counts)
         return tb.table_health(counts, len(raw) + len(an.ANALYZERS))
 
+    # --- memory ---
+
+    RECORDED_AT = "2001-11-05 08:00:00"
+
+    @cached_property
+    def recommendation_memory(self) -> DataFrame:
+        recs = self.agent_recommendations
+        return me.recommendation_memory_rows(recs, recs.limit(0), self.RECORDED_AT)
+
+    @cached_property
+    def decision_memory(self) -> DataFrame:
+        recs = self.agent_recommendations
+        return me.decision_memory_rows(self.raw.decisions.select("recommendation_id", "decided_at", "decision"), recs, recs.limit(0))
+
+    @cached_property
+    def outcome_memory(self) -> DataFrame:
+        """Outcomes of the decision history; failures carry a note."""
+        recs = self.agent_recommendations
+        outcomes = self.raw.decisions.select(
+            "recommendation_id",
+            F.col("decided_at").alias("recorded_at"),
+            F.when(F.col("decision") == "approved", "applied").otherwise("").alias("action_taken"),
+            "outcome_status",
+            F.when(F.col("outcome_status") == "failed", "manual check").otherwise("").alias("outcome_note"),
+        )
+        return me.outcome_memory_rows(outcomes, recs, recs.limit(0))
+
+    @cached_property
+    def feedback(self) -> DataFrame:
+        return me.feedback_rows(self.recommendation_memory, self.decision_memory, self.outcome_memory)
+
+    @cached_property
+    def insights(self) -> DataFrame:
+        return me.learning_insights(self.feedback, self.RECORDED_AT)
+
+    @cached_property
+    def analysis(self) -> DataFrame:
+        return an.inventory_analysis(self.base)
+
 
 class Run(Workspace):
     """A workspace whose shared inputs are published tables, so that the many branches of a run read
