@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stockloom.operators import analyzers as an, datasets as ds, memory as me, recommend as rc, stock_views as sv, transfers as tr
 from stockloom.sources import tables as tb
+from stockloom.sources.fingerprint import file_state
 from stockloom.session import published
 from stockloom.sources.star import StarTables
 
@@ -30,8 +31,9 @@ class Workspace:
 
     @cached_property
     def run(self) -> "Run":
-        """The same datasets for a whole agent run: shared inputs are written once and read back."""
-        return Run(self.raw)
+        """The same datasets for a whole agent run: shared inputs are written once and read back. A later
+        query of the application reuses the run while the source files are unchanged."""
+        return run_of(self.raw)
 
     @cached_property
     def current_inventory(self) -> DataFrame:
@@ -244,3 +246,21 @@ class Run(Workspace):
     @cached_property
     def base(self) -> DataFrame:
         return published(Workspace.base.func(self))
+
+    @cached_property
+    def agent_recommendations(self) -> DataFrame:
+        return published(Workspace.agent_recommendations.func(self))
+
+
+_RUNS: dict[tuple[str, str], tuple[tuple, Run]] = {}
+
+
+def run_of(raw) -> Run:
+    """The run over these tables, rebuilt when a source file changed."""
+    if not isinstance(raw, StarTables):
+        return Run(raw)
+    key = (raw.spark.sparkContext.applicationId, raw.sf_dir)
+    state = tuple(file_state(raw.spark, raw.sf_dir).first())
+    if key not in _RUNS or _RUNS[key][0] != state:
+        _RUNS[key] = (state, Run(raw))
+    return _RUNS[key][1]
