@@ -11,7 +11,7 @@ from stockloom.functions.exprs import alert_key, text, whole
 from stockloom.functions.ids import next_prefixed_ids
 from stockloom.operators.datasets import KEYS
 from stockloom.operators.folds import ORDER_STEP, PRICE_STEP, ordered_fold
-from stockloom.schemas import ALERT_LOG, CUSTOMER_ORDERS, DECISIONS, RISK_ACTIONS, SALES, TRANSACTIONS
+from stockloom.schemas import ALERT_LOG, CUSTOMER_ORDERS, DECISIONS, RISK_ACTIONS, SALES, TRANSACTIONS, extended
 from stockloom.session import published
 from stockloom.sources.tables import align_to_schema
 
@@ -84,7 +84,7 @@ def order_rows(applied: DataFrame, existing: DataFrame, order: list[str]) -> Dat
     )
     numbered = next_prefixed_ids(rows, order, existing, "order_id", "ORD")
     return align_to_schema(
-        numbered.withColumn("order_date", F.col("placed_at")), CUSTOMER_ORDERS.add("remaining_stock", "long")
+        numbered.withColumn("order_date", F.col("placed_at")), extended(CUSTOMER_ORDERS, remaining_stock="long")
     )
 
 
@@ -232,7 +232,7 @@ def applied_transfers(actions: DataFrame, inventory: DataFrame, order: list[str]
         .join(src, ["product_id", "source_store_id"], "left")
         .join(tgt, ["product_id", "target_store_id"], "left")
     )
-    schema = walk.schema.add("accepted", "boolean")
+    schema = extended(walk.schema, accepted="boolean")
     walked = walk.repartition("product_id").sortWithinPartitions("product_id", *order).mapInPandas(_moves, schema)
     refused = F.when(F.col("accepted"), "").otherwise("Source store does not have the stock.")
     done = easy.unionByName(walked.select(*easy.columns)).withColumn("error", refused)

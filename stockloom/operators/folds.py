@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from stockloom.schemas import extended
 from stockloom.session import checkpointed
 
 
@@ -133,6 +134,6 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: str, v
     )
     ready = fixed.join(F.broadcast(entries), ["_key", "_part"], "left").withColumn("_entry", F.coalesce("_entry", "_start"))
     columns = ["_key", "_entry", "_value", *df.columns]
-    schema = ready.select(*columns).schema.add("state_before", "long").add("state_after", "long")
+    schema = extended(ready.select(*columns).schema, state_before="long", state_after="long")
     out = ready.select(*columns, "_part").sortWithinPartitions(*sort).select(*columns)
     return out.mapInPandas(_replay(step), schema).drop("_key", "_entry", "_value")

@@ -48,4 +48,4 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 @lru_cache(maxsize=1)
 def load_all() -> None:
     """Import every module that registers queries."""
-    from stockloom.plans import queries_core, queries_stock, queries_sales, queries_recommend, queries_memory, queries_actions  # noqa: F401
+    from stockloom.plans import queries_core, queries_stock, queries_sales, queries_recommend, queries_memory, queries_actions, queries_answers, queries_streaming  # noqa: F401

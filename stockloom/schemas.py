@@ -20,6 +20,12 @@ def _schema(text: str) -> T.StructType:
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
 
 
+def extended(schema: T.StructType, **fields: str) -> T.StructType:
+    """A new schema with more fields; `StructType.add` would change the given one."""
+    more = [T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in fields.items()]
+    return T.StructType([*schema.fields, *more])
+
+
 PRODUCTS = _schema(
     "product_id:s product_name:s category:s cost_price:p selling_price:p "
     "shelf_life_days:l reorder_threshold:l supplier_id:s"
