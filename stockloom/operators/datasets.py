@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from stockloom.functions.exprs import fill_missing, signed_quantity, whole
 
@@ -71,37 +71,42 @@ def current_inventory(
 
 
 def sales_summary(sales: DataFrame) -> DataFrame:
-    """Totals, trailing 7 and 30 day quantities per product and store, with product and store totals."""
+    """Totals, trailing 7 and 30 day quantities per product and store, with product and store totals.
+
+    The product total is a window over a product's own rows, one per store at most. Store totals would
+    make very large windows, so they come from a second aggregation that leaves one row per store.
+    """
+    rows = sales.dropna(subset=KEYS)
     newest = latest(sales, "date")
     qty = whole("quantity_sold")
-    price = F.coalesce(F.col("selling_price"), F.lit(0).cast("decimal(12,2)"))
+    cents = F.coalesce((F.col("selling_price") * 100).cast("long"), F.lit(0))
 
     def trailing(days: int):
         inside = F.col("date") >= F.date_sub(newest, days)
         return F.coalesce(F.sum(F.when(inside, qty)), F.lit(0))
 
-    pairs = (
-        sales.dropna(subset=KEYS)
-        .groupBy(*KEYS)
-        .agg(
-            F.sum(qty).alias("total_quantity_sold"),
-            F.sum(qty * price).cast("double").alias("total_revenue"),
-            F.max("date").alias("last_sale_date"),
-            trailing(7).alias("recent_7_day_quantity_sold"),
-            trailing(30).alias("recent_30_day_quantity_sold"),
-        )
+    pairs = rows.groupBy(*KEYS).agg(
+        F.sum(qty).alias("total_quantity_sold"),
+        (F.sum(qty * cents) / F.lit(100.0)).alias("total_revenue"),
+        F.max("date").alias("last_sale_date"),
+        trailing(7).alias("recent_7_day_quantity_sold"),
+        trailing(30).alias("recent_30_day_quantity_sold"),
     )
-    by_product = pairs.groupBy("product_id").agg(F.sum("total_quantity_sold").alias("product_total_quantity_sold"))
-    by_store = pairs.groupBy("store_id").agg(F.sum("total_quantity_sold").alias("store_total_quantity_sold"))
-    return pairs.join(by_product, "product_id").join(by_store, "store_id").select(
-        *KEYS,
-        "total_quantity_sold",
-        "total_revenue",
-        "last_sale_date",
-        "product_total_quantity_sold",
-        "store_total_quantity_sold",
-        "recent_7_day_quantity_sold",
-        "recent_30_day_quantity_sold",
+    of_product = F.sum("total_quantity_sold").over(Window.partitionBy("product_id"))
+    of_store = rows.groupBy("store_id").agg(F.sum(qty).alias("store_total_quantity_sold"))
+    return (
+        pairs.withColumn("product_total_quantity_sold", of_product)
+        .join(of_store, "store_id")
+        .select(
+            *KEYS,
+            "total_quantity_sold",
+            "total_revenue",
+            "last_sale_date",
+            "product_total_quantity_sold",
+            "store_total_quantity_sold",
+            "recent_7_day_quantity_sold",
+            "recent_30_day_quantity_sold",
+        )
     )
 
 

@@ -47,14 +47,15 @@ def all_documents(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
 def hash_weights(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Sparse unit vectors (key, position, weight): every token adds +1 or -1 at a position that its
     md5 gives. Token counts are summed on the map side."""
-    digest = F.md5(F.col("token").cast("binary"))
-    low = F.concat(F.substring(digest, 3, 2), F.substring(digest, 1, 2))  # two bytes, little endian
-    position = F.conv(low, 16, 10).cast("long") % DIMENSION
-    sign = F.when(F.conv(F.substring(digest, 5, 2), 16, 10).cast("long") % 2 == 0, 1).otherwise(-1)
+    first3 = F.conv(F.substring(F.md5(F.col("token").cast("binary")), 1, 6), 16, 10).cast("long")
+    byte = lambda i: F.shiftright("first3", 16 - 8 * i).bitwiseAND(255)
     sums = (
         docs.select(key, F.explode(tx.tokens(text)).alias("token"))
-        .groupBy(key, position.alias("position"))
-        .agg(F.sum(sign).alias("total"))
+        .select(key, first3.alias("first3"))
+        .groupBy(key, "first3")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(key, ((byte(0) + byte(1) * 256) % DIMENSION).alias("position"))
+        .agg(F.sum(F.when(byte(2) % 2 == 0, F.col("n")).otherwise(-F.col("n"))).alias("total"))
         .filter("total <> 0")
     )
     norm = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("total") * F.col("total")).cast("double")).alias("norm"))
