@@ -13,6 +13,7 @@ from stockloom.functions.ids import sequential_numbers
 
 DIMENSION = 384
 MAX_QUERIES = 4096  # query vectors held by one task at a time
+MAX_QUESTIONS = 1024  # questions sent along with every document row
 
 
 def row_documents(name: str, df: DataFrame, key: list[str], order: int = 0) -> DataFrame:
@@ -158,29 +159,52 @@ def dataset_bonus(question_tokens: Column, dataset: Column) -> Column:
     return bonus
 
 
+def _best_hits(scored: DataFrame, k: int, question_key: str) -> DataFrame:
+    best = Window.partitionBy(question_key).orderBy(F.desc("score"), "dataset_order", "row_key")
+    return (
+        scored.withColumn("place", F.row_number().over(best))
+        .filter(F.col("place") <= k)
+        .select(question_key, "place", "dataset", "row_key", "overlap", "score")
+    )
+
+
+def _score() -> Column:
+    return F.col("overlap") + dataset_bonus(F.col("q_tokens"), F.col("dataset"))
+
+
 def keyword_search(questions: DataFrame, docs: DataFrame, k: int, question_key: str = "question_id", question: str = "question") -> DataFrame:
     """Documents that share words with a question, by shared words plus dataset bonuses; the first k.
 
-    Words meet in an equi-join; the hits of one document are on one task, so they are counted before the
-    shuffle, and the rank limit is applied on the map side as well.
+    Up to MAX_QUESTIONS questions travel as one array to every document row: scores are made in place and
+    the rank limit prunes each partition to k rows per question before anything is shuffled. A larger
+    question table meets the documents in an equi-join on words instead.
     """
     q = questions.select(question_key, tx.token_set(question).alias("q_tokens"))
-    words = q.select(question_key, F.explode("q_tokens").alias("token"))
-    doc_words = docs.select("dataset", "dataset_order", "row_key", F.explode(tx.token_set("text")).alias("token"))
+    place = ["dataset", "dataset_order", "row_key"]
+    words = docs.select(*place, tx.token_set("text").alias("d_tokens"))
+    if questions.limit(MAX_QUESTIONS + 1).count() <= MAX_QUESTIONS:
+        asked = q.agg(F.collect_list(F.struct(question_key, "q_tokens")).alias("q")).scalar()
+        rated = F.transform(
+            F.col("asked"),
+            lambda x: F.struct(
+                x[question_key].alias(question_key),
+                x["q_tokens"].alias("q_tokens"),
+                F.size(F.array_intersect(x["q_tokens"], F.col("d_tokens"))).cast("long").alias("overlap"),
+            ),
+        )
+        hits = (
+            words.withColumn("asked", asked)
+            .select(*place, F.explode(F.filter(rated, lambda x: x["overlap"] > 0)).alias("h"))
+            .select(*place, f"h.{question_key}", "h.q_tokens", "h.overlap")
+        )
+        return _best_hits(hits.withColumn("score", _score()), k, question_key)
     hits = (
-        doc_words.join(words, "token")
-        .groupBy(question_key, "dataset", "dataset_order", "row_key")
+        words.select(*place, F.explode("d_tokens").alias("token"))
+        .join(q.select(question_key, F.explode("q_tokens").alias("token")), "token")
+        .groupBy(question_key, *place)
         .agg(F.count(F.lit(1)).alias("overlap"))
     )
-    scored = hits.join(q, question_key).withColumn(
-        "score", F.col("overlap") + dataset_bonus(F.col("q_tokens"), F.col("dataset"))
-    )
-    best = Window.partitionBy(question_key).orderBy(F.desc("score"), "dataset_order", "row_key")
-    return (
-        scored.withColumn("place", F.row_number().over(best))
-        .filter(F.col("place") <= k)
-        .select(question_key, "place", "dataset", "row_key", "overlap", "score")
-    )
+    return _best_hits(hits.join(q, question_key).withColumn("score", _score()), k, question_key)
 
 
 def retrieval_plan(questions: DataFrame, question: str = "question") -> DataFrame:
