@@ -150,13 +150,18 @@ def _overlaps(tokens: Column, words: list[str]) -> Column:
     return F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in words]))
 
 
-def dataset_bonus(question_tokens: Column, dataset: Column) -> Column:
-    bonus = F.lit(0)
-    for points, names in RECENCY_BONUS.items():
-        bonus = bonus + F.when(dataset.isin(*names), points).otherwise(0)
-    for words, names, points in INTENT_BONUS:
-        bonus = bonus + F.when(_overlaps(question_tokens, words) & dataset.isin(*names), points).otherwise(0)
-    return bonus
+def dataset_bonuses(question_tokens: Column) -> Column:
+    """Points of every favoured dataset for a question, as a map made once per question."""
+    names = list(dict.fromkeys(n for group in [*RECENCY_BONUS.values(), *(r[1] for r in INTENT_BONUS)] for n in group))
+
+    def points(name: str) -> Column:
+        total = F.lit(sum(p for p, group in RECENCY_BONUS.items() if name in group))
+        for words, group, extra in INTENT_BONUS:
+            if name in group:
+                total = total + F.when(_overlaps(question_tokens, words), extra).otherwise(0)
+        return total.cast("long")
+
+    return F.create_map(*[x for n in names for x in (F.lit(n), points(n))])
 
 
 def _best_hits(scored: DataFrame, k: int, question_key: str) -> DataFrame:
@@ -168,10 +173,6 @@ def _best_hits(scored: DataFrame, k: int, question_key: str) -> DataFrame:
     )
 
 
-def _score() -> Column:
-    return F.col("overlap") + dataset_bonus(F.col("q_tokens"), F.col("dataset"))
-
-
 def keyword_search(questions: DataFrame, docs: DataFrame, k: int, question_key: str = "question_id", question: str = "question") -> DataFrame:
     """Documents that share words with a question, by shared words plus dataset bonuses; the first k.
 
@@ -179,32 +180,41 @@ def keyword_search(questions: DataFrame, docs: DataFrame, k: int, question_key:
     the rank limit prunes each partition to k rows per question before anything is shuffled. A larger
     question table meets the documents in an equi-join on words instead.
     """
-    q = questions.select(question_key, tx.token_set(question).alias("q_tokens"))
+    q = questions.select(question_key, tx.token_set(question).alias("q_tokens")).withColumn(
+        "bonuses", dataset_bonuses(F.col("q_tokens"))
+    )
     place = ["dataset", "dataset_order", "row_key"]
     words = docs.select(*place, tx.token_set("text").alias("d_tokens"))
     if questions.limit(MAX_QUESTIONS + 1).count() <= MAX_QUESTIONS:
-        asked = q.agg(F.collect_list(F.struct(question_key, "q_tokens")).alias("q")).scalar()
+        asked = q.agg(F.collect_list(F.struct(question_key, "q_tokens", "bonuses")).alias("q")).scalar()
+        known = q.select(F.explode("q_tokens").alias("t")).agg(F.collect_set("t").alias("known")).scalar()
+        # Only words that occur in some question are compared; the explode of one element keeps the
+        # optimizer from repeating this step for every question.
+        words = words.select(*place, F.explode(F.array(F.array_intersect("d_tokens", known))).alias("d_tokens")).filter(
+            F.size("d_tokens") > 0
+        )
         rated = F.transform(
             F.col("asked"),
             lambda x: F.struct(
                 x[question_key].alias(question_key),
-                x["q_tokens"].alias("q_tokens"),
                 F.size(F.array_intersect(x["q_tokens"], F.col("d_tokens"))).cast("long").alias("overlap"),
+                F.coalesce(x["bonuses"][F.col("dataset")], F.lit(0)).alias("bonus"),
             ),
         )
         hits = (
             words.withColumn("asked", asked)
             .select(*place, F.explode(F.filter(rated, lambda x: x["overlap"] > 0)).alias("h"))
-            .select(*place, f"h.{question_key}", "h.q_tokens", "h.overlap")
+            .select(*place, f"h.{question_key}", "h.overlap", (F.col("h.overlap") + F.col("h.bonus")).alias("score"))
         )
-        return _best_hits(hits.withColumn("score", _score()), k, question_key)
+        return _best_hits(hits, k, question_key)
     hits = (
         words.select(*place, F.explode("d_tokens").alias("token"))
         .join(q.select(question_key, F.explode("q_tokens").alias("token")), "token")
         .groupBy(question_key, *place)
         .agg(F.count(F.lit(1)).alias("overlap"))
     )
-    return _best_hits(hits.join(q, question_key).withColumn("score", _score()), k, question_key)
+    bonus = F.coalesce(F.col("bonuses")[F.col("dataset")], F.lit(0))
+    return _best_hits(hits.join(q, question_key).withColumn("score", F.col("overlap") + bonus), k, question_key)
 
 
 def retrieval_plan(questions: DataFrame, question: str = "question") -> DataFrame:
