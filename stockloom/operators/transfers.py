@@ -263,7 +263,7 @@ def alternative_products(
 ) -> DataFrame:
     """Same-category alternatives for every low row: exclusive first, then by stock.
 
-    The reference order depends on the low row only through "another product". A product fills at most
+    The order of candidates depends on the low row only through "another product". A product fills at most
     `top_n` places (one when only its best row counts), so the first `2 * top_n` (or `top_n + 1`)
     candidates of a category are enough for every low row.
     """
