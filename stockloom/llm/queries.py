@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stockloom.llm import exact_dedup, mixing, packing, sharding, token_counts, topk_search, url_filter
+from stockloom.llm import exact_dedup, mixing, near_dedup, packing, sharding, token_counts, topk_search, url_filter
 
 SHARDS = 8
 RULES = ("block net/", "allow example.net/en/", "block example.com/de/", "allow org/fr/")
@@ -67,6 +67,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+@query("op7_near_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_copies(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op8_topk_search",
     """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
