@@ -76,7 +76,8 @@ def copy_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, sa
 
 
 def _with_groups(docs: DataFrame, digest, salts: int, *more) -> DataFrame:
-    """The rows with their group. Groups of one need no partner, so only real groups are joined."""
+    """The rows with their group. Groups of one need no partner, so only real groups are joined, each under
+    every salt, so that the rows of a large group meet it in many tasks."""
     groups = copy_groups(docs, digest, salts)
     slim = published(groups.drop("_content"))
     shared = slim.groupBy("_digest").count().filter("count > 1")
@@ -87,7 +88,8 @@ def _with_groups(docs: DataFrame, digest, salts: int, *more) -> DataFrame:
     else:  # different contents with one digest: the content itself has to decide
         keys, many = ["_digest", "_content"], groups.filter("group_size > 1")
     return (
-        rows.join(many, keys, "left")
+        rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
+        .join(many.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "_salt"], "left")
         .withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id")))
         .withColumn("_stays", F.col("group_size").isNull() | (F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_n") == F.col("keep_n"))))
         .withColumn("group_size", F.coalesce("group_size", F.lit(1)).cast("long"))
