@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stockloom.functions.exprs import alert_key, text, whole
 from stockloom.functions.ids import next_prefixed_ids
@@ -57,10 +57,18 @@ def checked_orders(requests: DataFrame, inventory: DataFrame, products: DataFram
 def applied_orders(checked: DataFrame, order: list[str]) -> DataFrame:
     """Orders in sequence per product and store: accepted while stock lasts, a rejected one takes nothing.
 
-    Requests failing a check alone can never pass later, so only the others are folded.
+    Requests failing a check alone can never pass later. A pair whose stock covers all that is asked of it
+    accepts everything, and holds at most as many requests as it has stock, so running sums settle it; only
+    the contended pairs are folded.
     """
     passed = checked.filter(F.col("check_code") == "ok")
-    folded = ordered_fold(passed, KEYS, order, "available_quantity", "quantity", ORDER_STEP)
+    asked = passed.groupBy(*KEYS).agg(F.sum("quantity").alias("_asked"))
+    marked = passed.join(asked, KEYS).withColumn("_easy", F.col("_asked") <= F.col("available_quantity")).drop("_asked")
+    so_far = Window.partitionBy(*KEYS).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    easy = marked.filter("_easy").drop("_easy").withColumn("state_after", F.col("available_quantity") - F.sum("quantity").over(so_far))
+    easy = easy.withColumn("state_before", F.col("state_after") + F.col("quantity"))
+    hard = ordered_fold(marked.filter("NOT _easy").drop("_easy"), KEYS, order, "available_quantity", "quantity", ORDER_STEP)
+    folded = hard.unionByName(easy)
     accepted = F.col("state_after") < F.col("state_before")
     done = folded.select(
         *checked.columns,

@@ -31,8 +31,8 @@ def analysis_base(inventory: DataFrame, summary: DataFrame) -> DataFrame:
     return df.withColumn("days_of_stock_remaining", cover_days("stock_level", "recent_daily_sales_velocity"))
 
 
-def velocity_cutoff(base: DataFrame, percentile: float) -> Column:
-    """Exact interpolated percentile of the positive velocities, null when there are none.
+def velocity_cutoffs(base: DataFrame, *percentiles: float) -> Column:
+    """Exact interpolated percentiles of the positive velocities as one array, null when there are none.
 
     Velocities are whole quantities over 7 or 30, so the distinct values are few; they are counted
     first and the percentile is taken over (value, count) pairs.
@@ -42,7 +42,12 @@ def velocity_cutoff(base: DataFrame, percentile: float) -> Column:
         .groupBy(F.col("recent_daily_sales_velocity").alias("v"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return counted.agg(F.percentile("v", percentile, F.col("n")).alias("cut")).scalar()
+    points = F.array(*(F.lit(float(p)) for p in percentiles))
+    return counted.agg(F.percentile("v", points, F.col("n")).alias("cut")).scalar()
+
+
+def velocity_cutoff(base: DataFrame, percentile: float) -> Column:
+    return velocity_cutoffs(base, percentile)[0]
 
 
 def low_stock_rule(c: AnalyzerConfig) -> Column:
@@ -166,15 +171,16 @@ ANALYZERS = {
 
 def flagged_base(base: DataFrame, c: AnalyzerConfig = DEFAULTS) -> DataFrame:
     """The base with one boolean per analyzer, so all six rules are evaluated in one pass."""
+    both = base.withColumn("_cuts", velocity_cutoffs(base, c.high_demand_percentile, c.slow_moving_percentile))
     flags = {
         "low_stock_items": low_stock_rule(c),
         "stockout_risk_items": stockout_risk_rule(c),
         "overstock_items": overstock_rule(c),
         "dead_stock_candidates": dead_stock_rule(c),
-        "high_demand_items": high_demand_rule(velocity_cutoff(base, c.high_demand_percentile)),
-        "slow_moving_items": slow_moving_rule(velocity_cutoff(base, c.slow_moving_percentile)),
+        "high_demand_items": high_demand_rule(F.col("_cuts")[0]),
+        "slow_moving_items": slow_moving_rule(F.col("_cuts")[1]),
     }
-    return base.withColumns({f"is_{name}": F.coalesce(rule, F.lit(False)) for name, rule in flags.items()})
+    return both.withColumns({f"is_{name}": F.coalesce(rule, F.lit(False)) for name, rule in flags.items()}).drop("_cuts")
 
 
 def inventory_analysis(base: DataFrame, c: AnalyzerConfig = DEFAULTS) -> DataFrame:

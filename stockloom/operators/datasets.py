@@ -74,7 +74,7 @@ def sales_summary(sales: DataFrame) -> DataFrame:
     """Totals, trailing 7 and 30 day quantities per product and store, with product and store totals.
 
     The product total is a window over a product's own rows, one per store at most. Store totals would
-    make very large windows, so they come from a second aggregation that leaves one row per store.
+    make very large windows, so they are summed from the pairs, whose exchange both sides share.
     """
     rows = sales.dropna(subset=KEYS)
     newest = latest(sales, "date")
@@ -93,7 +93,7 @@ def sales_summary(sales: DataFrame) -> DataFrame:
         trailing(30).alias("recent_30_day_quantity_sold"),
     )
     of_product = F.sum("total_quantity_sold").over(Window.partitionBy("product_id"))
-    of_store = rows.groupBy("store_id").agg(F.sum(qty).alias("store_total_quantity_sold"))
+    of_store = pairs.groupBy("store_id").agg(F.sum("total_quantity_sold").alias("store_total_quantity_sold"))
     return (
         pairs.withColumn("product_total_quantity_sold", of_product)
         .join(of_store, "store_id")

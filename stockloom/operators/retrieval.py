@@ -59,8 +59,8 @@ def hash_weights(docs: DataFrame, key: str, text: str) -> DataFrame:
         .agg(F.sum(F.when(byte(2) % 2 == 0, F.col("n")).otherwise(-F.col("n"))).alias("total"))
         .filter("total <> 0")
     )
-    norm = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("total") * F.col("total")).cast("double")).alias("norm"))
-    return sums.join(norm, key).select(key, "position", (F.col("total") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("total") * F.col("total")).over(Window.partitionBy(key)).cast("double"))  # of at most 384 rows
+    return sums.select(key, "position", (F.col("total") / norm).alias("weight"))
 
 
 def hash_embeddings(docs: DataFrame, key: str, text: str) -> DataFrame:

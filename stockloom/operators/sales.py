@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from stockloom.functions.exprs import branch_label, ratio, whole
 from stockloom.operators.datasets import latest
+from stockloom.session import published
 
 
 @dataclass(frozen=True)
@@ -107,22 +108,28 @@ def product_velocity(filtered: DataFrame, all_sales: DataFrame) -> DataFrame:
 
 
 def overview_metrics(filtered: DataFrame, all_sales: DataFrame) -> DataFrame:
-    """One row of headline figures; the least product is the least of the ten best."""
-    top10 = sales_product_performance(filtered, 10)
-    products = top10.agg(
+    """One row of headline figures; the least product is the least of the ten best.
+
+    Sales are summed once per day and product; everything but the number of orders follows from those sums.
+    """
+    product = ["product_id", "product_name", "category"]
+    sums = [F.sum("quantity_sold").alias("quantity_sold"), F.sum("sales_value").alias("sales_value")]
+    days = published(filtered.groupBy("date", *product).agg(*sums))
+    best = days.groupBy(*product).agg(*sums).orderBy(F.desc("quantity_sold"), F.desc("sales_value"), "product_id").limit(10)
+    products = best.agg(
         F.min_by("product_name", F.struct(-F.col("quantity_sold"), -F.col("sales_value"), "product_id")).alias("top"),
         F.min_by("product_name", F.struct("quantity_sold", "product_name")).alias("least"),
     )
-    daily = sales_trend(filtered, "D")
+    daily = days.filter("date IS NOT NULL").groupBy("date").agg(F.sum("sales_value").alias("sales_value"))
     first7 = daily.orderBy("date").limit(7).agg((F.sum("sales_value").cast("double") / F.count(F.lit(1))).alias("m"))
     last7 = daily.orderBy(F.desc("date")).limit(7).agg(
         (F.sum("sales_value").cast("double") / F.count(F.lit(1))).alias("m"), F.count(F.lit(1)).alias("n")
     )
-    fastest = product_velocity(filtered, all_sales).agg(
-        F.min_by(
-            "product_name",
-            F.struct(-F.col("daily_sales_velocity"), -F.col("quantity_sold"), -F.col("sales_value"), "product_id"),
-        ).alias("fastest")
+    since = F.date_sub(latest(all_sales, "date"), 30)
+    none_recent = days.agg((F.count_if(F.col("date") >= since) == 0).alias("none")).scalar()
+    recent_days = days.filter(none_recent | (F.col("date") >= since))
+    fastest = recent_days.groupBy(*product).agg(*sums).agg(
+        F.min_by("product_name", F.struct(-F.col("quantity_sold"), -F.col("sales_value"), "product_id")).alias("fastest")
     )
     recent, base = F.col("recent"), F.col("baseline")
     trend = (

@@ -77,7 +77,7 @@ SELECT concat('TXN', l_orderkey, '-', l_linenumber) transaction_id, CAST(l_shipd
  'synthetic' source, l_linestatus remarks
 FROM rt_lines""")
 view("rt_decisions", """
-SELECT event_id decision_seq, concat('REC', lpad(CAST(1 + event_id % 500 AS VARCHAR), 5, '0')) recommendation_id, ts decided_at,
+SELECT event_id decision_seq, printf('REC%05d', 1 + event_id % 2000 * (SELECT greatest(1, count(*) * 3 // 4000) FROM lineitem)) recommendation_id, ts decided_at,
  CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'approved' END decision,
  CASE event_type WHEN 'purchase' THEN 'worked' WHEN 'signup' THEN 'improved sales' WHEN 'view' THEN 'executed'
   WHEN 'click' THEN 'ineffective' ELSE 'failed' END outcome_status
@@ -85,7 +85,7 @@ FROM events""")
 view("rt_order_requests", """
 SELECT CAST(l_shipdate AS DATE) order_date, l_orderkey order_seq, CAST(l_linenumber AS BIGINT) line_seq,
  concat('P', l_partkey) product_id, concat('S', c_nationkey) store_id, CAST(l_quantity AS BIGINT) quantity
-FROM rt_lines WHERE CAST(l_shipdate AS DATE) >= CAST('2000-11-04' AS DATE)""")
+FROM rt_lines""")
 view("rt_questions", """
 SELECT event_id question_id, CASE event_id % 12
  WHEN 0 THEN concat('Top 5 selling products in NATION_', user_id % 25)

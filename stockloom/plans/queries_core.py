@@ -83,7 +83,7 @@ SELECT 'low_stock_items' dataset, count(*) row_count FROM v_low UNION ALL SELECT
 UNION ALL SELECT 'overstock_items', count(*) FROM v_over UNION ALL SELECT 'dead_stock_candidates', count(*) FROM v_dead
 UNION ALL SELECT 'high_demand_items', count(*) FROM v_high UNION ALL SELECT 'slow_moving_items', count(*) FROM v_slow""")
 def _analyzer_counts(ws):
-    return an.analyzer_counts(ws.base)
+    return an.analyzer_counts(ws.shared_base)
 
 
 @query("snapshot_is_current", """
@@ -217,6 +217,6 @@ _TAGGED = " UNION ALL ".join(
 
 @query("inventory_analysis", _TAGGED)
 def _analysis(ws):
-    return an.inventory_analysis(ws.base).select(
+    return an.inventory_analysis(ws.shared_base).select(
         "dataset", "product_id", "store_id", "stock_level", "recent_daily_sales_velocity", "days_of_stock_remaining"
     )

@@ -28,10 +28,12 @@ def _events(ws):
 
 def _sales(ws):
     sales = StreamTables(ws.spark, ws.sf_dir).sales
-    return sales.select(F.col("date").cast("timestamp").alias("ts"), F.col("quantity_sold").alias("quantity"))
+    return sales.select(F.col("date").cast("timestamp").alias("ts"), "product_id", "store_id", F.col("quantity_sold").alias("quantity"))
+
+
+_WINDOW = ["window_start", "window_end"]
 
 
-# A window is final once the watermark, two days behind the newest row, has passed its end.
 def _windows(source, keys, days, slide, origin):
     picked = "".join(f"{k}, " for k in keys)
     return f"""
@@ -39,26 +41,30 @@ SELECT strftime(s, '%Y-%m-%d 00:00:00') window_start, strftime(s + INTERVAL {day
  CAST(sum(quantity) AS BIGINT) quantity, count(*) row_count
 FROM (SELECT *, unnest(generate_series(last - INTERVAL {days - slide} DAY, last, INTERVAL {slide} DAY)) s FROM (
   SELECT *, TIMESTAMP '{origin}' + INTERVAL ({slide}) DAY * CAST(floor(date_diff('second', TIMESTAMP '{origin}', ts) / ({slide} * 86400E0)) AS BIGINT) last FROM {source}) a) b
-WHERE s + INTERVAL {days} DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM {source}) GROUP BY ALL"""
+GROUP BY ALL"""
 
 
-_EVENTS = "(SELECT ts, user_id, CAST(trunc(value) AS BIGINT) quantity FROM events)"
-_SALES = "(SELECT CAST(date AS TIMESTAMP) ts, quantity_sold quantity FROM rt_sales)"
+_SALES = "(SELECT CAST(date AS TIMESTAMP) ts, product_id, store_id, quantity_sold quantity FROM rt_sales)"
 
 
-@query("stream_sales_velocity", f"SELECT *, quantity / 7E0 daily_velocity FROM ({_windows(_EVENTS, ['user_id'], 7, 1, '1970-01-01')}) v")
+@query("stream_sales_velocity", f"SELECT *, quantity / 7E0 daily_velocity FROM ({_windows(_SALES, ['product_id', 'store_id'], 7, 1, '1970-01-01')}) v")
 def _velocity(ws):
-    return jobs.run_to_table(jobs.sales_velocity(_events(ws), ["user_id"], 7))
+    return jobs.run_upserts(jobs.sales_velocity(_sales(ws), ["product_id", "store_id"], 7), [*_WINDOW, "product_id", "store_id"])
+
+
+@query("stream_store_velocity_30d", f"SELECT *, quantity / 30E0 daily_velocity FROM ({_windows(_SALES, ['store_id'], 30, 1, '1970-01-01')}) v")
+def _store_velocity(ws):
+    return jobs.run_upserts(jobs.sales_velocity(_sales(ws), ["store_id"], 30), [*_WINDOW, "store_id"])
 
 
 @query("stream_sales_trend_daily", _windows(_SALES, [], 1, 1, "1970-01-01"))
 def _daily(ws):
-    return jobs.run_to_table(jobs.sales_trend(_sales(ws), "D"))
+    return jobs.run_upserts(jobs.sales_trend(_sales(ws), "D"), _WINDOW)
 
 
 @query("stream_sales_trend_weekly", _windows(_SALES, [], 7, 7, "1970-01-05"))
 def _weekly(ws):
-    return jobs.run_to_table(jobs.sales_trend(_sales(ws), "W"))
+    return jobs.run_upserts(jobs.sales_trend(_sales(ws), "W"), _WINDOW)
 
 
 @query("stream_new_alerts", "SELECT DISTINCT concat_ws('|', user_id, event_type) alert_key FROM events")
@@ -67,8 +73,8 @@ def _alerts(ws):
 
 
 @query("stream_apply_orders", """
-WITH RECURSIVE q AS (SELECT r.*, i.stock_level, row_number() OVER (PARTITION BY r.product_id, r.store_id ORDER BY order_date, order_seq, line_seq, quantity) rn
- FROM rt_order_requests r JOIN rt_inventory i ON i.product_id = r.product_id AND i.store_id = r.store_id),
+WITH RECURSIVE q AS (SELECT r.*, coalesce(i.stock_level, 0) stock_level, row_number() OVER (PARTITION BY r.product_id, r.store_id ORDER BY order_date, order_seq, line_seq, quantity) rn
+ FROM rt_order_requests r LEFT JOIN rt_inventory i ON i.product_id = r.product_id AND i.store_id = r.store_id),
 walk AS (SELECT *, quantity <= stock_level accepted, CASE WHEN quantity <= stock_level THEN stock_level - quantity ELSE stock_level END remaining_stock FROM q WHERE rn = 1
  UNION ALL SELECT q.*, q.quantity <= w.remaining_stock, CASE WHEN q.quantity <= w.remaining_stock THEN w.remaining_stock - q.quantity ELSE w.remaining_stock END
  FROM walk w JOIN q ON q.product_id = w.product_id AND q.store_id = w.store_id AND q.rn = w.rn + 1)

@@ -57,6 +57,11 @@ class Workspace:
     def base(self) -> DataFrame:
         return an.analysis_base(self.current_inventory, self.sales_summary)
 
+    @cached_property
+    def shared_base(self) -> DataFrame:
+        """The base for operators that pass over it twice, for a cut-off and for the rows: written once."""
+        return published(self.base)
+
     @cached_property
     def low_stock(self) -> DataFrame:
         return an.low_stock_items(self.base)
@@ -75,11 +80,11 @@ class Workspace:
 
     @cached_property
     def high_demand(self) -> DataFrame:
-        return an.high_demand_items(self.base)
+        return an.high_demand_items(self.shared_base)
 
     @cached_property
     def slow_moving(self) -> DataFrame:
-        return an.slow_moving_items(self.base)
+        return an.slow_moving_items(self.shared_base)
 
     @cached_property
     def low_stock_alerts(self) -> DataFrame:
@@ -182,7 +187,7 @@ class Workspace:
 
     @cached_property
     def analyzer_counts(self) -> DataFrame:
-        return an.analyzer_counts(self.base)
+        return an.analyzer_counts(self.shared_base)
 
     @cached_property
     def health(self) -> DataFrame:
@@ -228,7 +233,7 @@ class Workspace:
 
     @cached_property
     def analysis(self) -> DataFrame:
-        return an.inventory_analysis(self.base)
+        return an.inventory_analysis(self.shared_base)
 
 
 class Run(Workspace):
@@ -247,6 +252,10 @@ class Run(Workspace):
     def base(self) -> DataFrame:
         return published(Workspace.base.func(self))
 
+    @cached_property
+    def shared_base(self) -> DataFrame:
+        return self.base
+
     @cached_property
     def agent_recommendations(self) -> DataFrame:
         return published(Workspace.agent_recommendations.func(self))

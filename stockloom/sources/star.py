@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 SNAPSHOT_DAY = "1998-06-01"
 LAST_UPDATED = "2001-11-04"
-REQUESTS_FROM = "2000-11-04"
 
 
 class StarTables:
@@ -141,9 +140,11 @@ class StarTables:
             .when(kind == "click", "ineffective")
             .otherwise("failed")
         )
+        # 2,000 ids spread evenly over about as many records as a run makes
+        step = self.parquet("lineitem").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * 3 / 4000)).cast("long").alias("n")).scalar()
         return self.parquet("events").select(
             F.col("event_id").alias("decision_seq"),
-            F.concat(F.lit("REC"), F.lpad((1 + F.col("event_id") % 500).cast("string"), 5, "0")).alias("recommendation_id"),
+            F.format_string("REC%05d", 1 + F.col("event_id") % 2000 * step).alias("recommendation_id"),
             F.col("ts").alias("decided_at"),
             F.when(kind == "error", "rejected").otherwise("approved").alias("decision"),
             outcome.alias("outcome_status"),
@@ -151,8 +152,8 @@ class StarTables:
 
     @cached_property
     def order_requests(self) -> DataFrame:
-        """Recent lines as order requests, in (date, order, line) order."""
-        return self.order_lines.filter(F.col("l_shipdate") >= F.lit(REQUESTS_FROM).cast("date")).select(
+        """All lines as order requests, in (date, order, line) order."""
+        return self.order_lines.select(
             F.col("l_shipdate").cast("date").alias("order_date"),
             F.col("l_orderkey").alias("order_seq"),
             F.col("l_linenumber").alias("line_seq"),

@@ -43,8 +43,35 @@ def run_to_table(stream: DataFrame, folder: str | None = None, mode: str = "appe
     return spark.read.schema(stream.schema).parquet(f"{base}/table")
 
 
+def run_upserts(stream: DataFrame, keys: list[str], folder: str | None = None) -> DataFrame:
+    """Process everything available of an aggregated stream and read back the newest row per key.
+
+    The running values live in the query's checkpointed state. Every micro-batch writes the rows that it
+    changed under its own number, so a repeated batch replaces itself, a restart on the same folder goes on
+    where the last one ended, and rows are current at once, not only when the watermark has passed them.
+    """
+    spark = stream.sparkSession
+    base = folder or f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/changes/version={batch_id}")
+
+    query = (
+        stream.writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", f"{base}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    values = [c for c in stream.columns if c not in keys]
+    changes = spark.read.schema(extended(stream.schema, version="long")).parquet(f"{base}/changes")
+    newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "version").alias("row"))
+    return newest.select(*keys, *(F.col(f"row.{c}").alias(c) for c in values)).select(*stream.columns)
+
+
 def window_totals(rows: DataFrame, keys: list[str], length: str, slide: str | None = None, start: str | None = None) -> DataFrame:
-    """Quantity per key and event-time window; rows later than the watermark are dropped in a stream."""
+    """Quantity per key and event-time window; a stream drops rows that come later than the watermark."""
     window = F.window("ts", length, slide or length, start or "0 seconds")
     return (
         rows.withWatermark("ts", LATENESS)
@@ -68,8 +95,8 @@ def sales_trend(rows: DataFrame, frequency: str = "D") -> DataFrame:
 
 
 def new_alerts(rows: DataFrame) -> DataFrame:
-    """Each alert key once within the lateness; the state of a key expires with the watermark."""
-    return rows.withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark(["alert_key"])
+    """Each alert key once for ever: the keys sent are the query's state, which a restart finds again."""
+    return rows.dropDuplicates(["alert_key"])
 
 
 def _take(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -90,12 +117,13 @@ def _take(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
 def apply_orders(requests: DataFrame, inventory: DataFrame) -> DataFrame:
     """Accept or reject a stream of orders with the remaining stock per product and store as state.
 
-    The first order of a key takes its stock from the inventory table; orders for unknown pairs are
-    left to the batch check.
+    The first order of a key takes its stock from the inventory table; orders for pairs that are not in it
+    find no stock and are rejected.
     """
     stock = inventory.select(*KEYS, whole("stock_level").alias("available_quantity"))
-    rows = requests.join(stock, KEYS).select(
-        "product_id", "store_id", "order_date", "order_seq", "line_seq", "quantity", "available_quantity"
+    rows = requests.join(stock, KEYS, "left").select(
+        "product_id", "store_id", "order_date", "order_seq", "line_seq", "quantity",
+        F.coalesce("available_quantity", F.lit(0)).cast("long").alias("available_quantity"),
     )
     schema = extended(rows.schema, accepted="boolean", remaining_stock="long")
     return rows.groupBy(*KEYS).applyInPandasWithState(
@@ -104,34 +132,8 @@ def apply_orders(requests: DataFrame, inventory: DataFrame) -> DataFrame:
 
 
 def ledger_stock(movements: DataFrame, folder: str | None = None) -> DataFrame:
-    """Running stock from a stream of movements. Every micro-batch is summed per key and added to the
-    last version of the stock table; a repeated batch writes the same version again."""
-    spark = movements.sparkSession
-    base = folder or f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
-    versions: list[int] = []
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        change = batch.groupBy(*KEYS).agg(
-            F.sum(signed_quantity("transaction_type", "quantity")).alias("change"), F.max("date").alias("day")
-        )
-        earlier = [v for v in versions if v < batch_id]
-        if earlier:
-            old = batch.sparkSession.read.parquet(f"{base}/stock/version={max(earlier)}")
-        else:
-            old = change.select(*KEYS, F.lit(0).cast("long").alias("stock_level"), F.col("day").alias("last_updated")).limit(0)
-        new = old.join(change, KEYS, "full").select(
-            *KEYS,
-            (F.coalesce("stock_level", F.lit(0)) + F.coalesce("change", F.lit(0))).alias("stock_level"),
-            F.greatest("last_updated", "day").alias("last_updated"),
-        )
-        new.write.mode("overwrite").parquet(f"{base}/stock/version={batch_id}")
-        versions.append(batch_id)
-
-    query = (
-        movements.writeStream.foreachBatch(merge)
-        .option("checkpointLocation", f"{base}/progress")
-        .trigger(availableNow=True)
-        .start()
+    """Running stock per product and store from a stream of movements, going on after a restart."""
+    totals = movements.groupBy(*KEYS).agg(
+        F.sum(signed_quantity("transaction_type", "quantity")).alias("stock_level"), F.max("date").alias("last_updated")
     )
-    query.awaitTermination()
-    return spark.read.parquet(f"{base}/stock/version={max(versions)}")
+    return run_upserts(totals, KEYS, folder)
