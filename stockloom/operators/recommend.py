@@ -152,9 +152,10 @@ def exclusive(exclusive_items: DataFrame) -> DataFrame:
     )
 
 
-def alternative(low_stock: DataFrame, candidates: DataFrame, top_n: int = 3) -> DataFrame:
-    """The best row of each of the `top_n` first alternative products of a low row."""
-    rows = tr.alternative_products(low_stock, candidates, top_n, one_per_product=True)
+def alternative(low_stock: DataFrame, candidates: DataFrame, top_n: int) -> DataFrame:
+    """The best row of each of the `top_n` first alternative products of a low row. How many such records the
+    whole relation has is `alternative_product_total` of `transfers.alternative_products`."""
+    rows = tr.top_alternative_products(low_stock, candidates, top_n, one_per_product=True)
     return _records(
         rows,
         "alternative_option",

@@ -258,10 +258,58 @@ def _alternative_order() -> list[Column]:
     return [F.desc("is_exclusive"), F.desc("available_quantity"), F.asc("product_name"), F.asc("store_id")]
 
 
-def alternative_products(
-    low_stock: DataFrame, candidates: DataFrame, top_n: int = 3, one_per_product: bool = False
+def _low_rows(low_stock: DataFrame) -> DataFrame:
+    return low_stock.select(
+        F.col("product_id").alias("low_product_id"),
+        text("product_name", F.col("product_id")).alias("low_stock_product"),
+        F.col("store_id").alias("low_store_id"),
+        text("store_name", F.col("store_id")).alias("low_stock_store"),
+        text("category").alias("low_category"),
+    )
+
+
+def alternative_products(low_stock: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The whole relation "low row - alternative" in factored form: every low row with its category and the
+    exact numbers of its alternatives, which are the candidates of that category with another product.
+
+    The pairs grow with the square of a category, so they are never stored: the two factors are this table
+    and `candidates`, and `alternative_pairs` joins them where pairs are asked for.
+    """
+    exclusive = F.count_if("is_exclusive")
+    own = candidates.groupBy("category", "product_id").agg(F.count(F.lit(1)).alias("own"), exclusive.alias("own_exclusive"))
+    whole_category = own.groupBy("category").agg(
+        F.sum("own").alias("all"), F.sum("own_exclusive").alias("all_exclusive"), F.count(F.lit(1)).alias("products")
+    )
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    return (
+        _low_rows(low_stock)
+        .join(whole_category.withColumnRenamed("category", "low_category"), "low_category", "left")
+        .join(own.withColumnsRenamed({"category": "low_category", "product_id": "low_product_id"}), ["low_category", "low_product_id"], "left")
+        .select(
+            F.col("low_product_id").alias("low_stock_product_id"),
+            "low_stock_product",
+            F.col("low_store_id").alias("low_stock_store_id"),
+            "low_stock_store",
+            F.col("low_category").alias("category"),
+            (n("all") - n("own")).alias("alternative_total"),
+            (n("all_exclusive") - n("own_exclusive")).alias("exclusive_total"),
+            (n("products") - F.when(F.col("own") > 0, 1).otherwise(0)).cast("long").alias("alternative_product_total"),
+        )
+    )
+
+
+def alternative_pairs(low_stock: DataFrame, candidates: DataFrame, salts: int = 16) -> DataFrame:
+    """All pairs of the relation, one row each; the candidates of a category are dealt over `salts` keys."""
+    dealt = candidates.withColumn("salt", F.pmod(F.xxhash64(*KEYS), F.lit(salts)).cast("int"))
+    low = _low_rows(low_stock).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    same = (F.col("low_category") == F.col("category")) & (low["salt"] == dealt["salt"])
+    return low.join(dealt, same & (F.col("low_product_id") != F.col("product_id"))).drop("salt")
+
+
+def top_alternative_products(
+    low_stock: DataFrame, candidates: DataFrame, top_n: int, one_per_product: bool = False
 ) -> DataFrame:
-    """Same-category alternatives for every low row: exclusive first, then by stock.
+    """A report of the `top_n` best same-category alternatives of every low row: exclusive first, then by stock.
 
     The order of candidates depends on the low row only through "another product". A product fills at most
     `top_n` places (one when only its best row counts), so the first `2 * top_n` (or `top_n + 1`)
@@ -269,13 +317,7 @@ def alternative_products(
     """
     per_product = 1 if one_per_product else top_n
     ranked = ranked_in_category(candidates, _alternative_order(), per_product, top_n + per_product)
-    low = low_stock.select(
-        F.col("product_id").alias("low_product_id"),
-        text("product_name", F.col("product_id")).alias("low_stock_product"),
-        F.col("store_id").alias("low_store_id"),
-        text("store_name", F.col("store_id")).alias("low_stock_store"),
-        text("category").alias("low_category"),
-    )
+    low = _low_rows(low_stock)
     fields = ["product_id", "product_name", "store_id", "store_name", "available_quantity", "is_exclusive"]
     o = lambda f: F.col(f"option.{f}")
     reason = F.when(
@@ -339,13 +381,7 @@ def alternative_availability(
     inventory: DataFrame, products: DataFrame, stores: DataFrame, low_stock: DataFrame
 ) -> DataFrame:
     """Same-product surplus in other stores plus the three best stocked products of the category."""
-    low = low_stock.select(
-        F.col("product_id").alias("low_product_id"),
-        text("product_name", F.col("product_id")).alias("low_stock_product"),
-        F.col("store_id").alias("low_store_id"),
-        text("store_name", F.col("store_id")).alias("low_stock_store"),
-        text("category").alias("low_category"),
-    )
+    low = _low_rows(low_stock)
     surplus = surplus_stock(inventory, products, stores).select(
         "product_id",
         F.col("store_id").alias("source_id"),

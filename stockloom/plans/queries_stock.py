@@ -277,11 +277,22 @@ _ALT = """l.product_id low_stock_product_id, l.product_name low_stock_product, l
  CASE WHEN a.is_exclusive THEN 'high' ELSE 'medium' END priority"""
 
 
-@query("alternative_products", f"SELECT {_ALT} FROM v_low l JOIN v_alt_product a ON a.low_product = l.product_id")
-def _alternatives(ws):
+# The whole relation, counted pair by pair: low rows of one product share their alternatives.
+@query("alternative_products", """
+SELECT l.product_id low_stock_product_id, l.product_name low_stock_product, l.store_id low_stock_store_id, l.store_name low_stock_store,
+ l.category, coalesce(n, 0) alternative_total, coalesce(e, 0) exclusive_total, coalesce(d, 0) alternative_product_total
+FROM v_low l LEFT JOIN (SELECT p.product_id, count(*) n, count(*) FILTER (WHERE is_exclusive) e, count(DISTINCT c.product_id) d
+ FROM (SELECT DISTINCT product_id, category FROM v_low) p JOIN v_cand c ON c.category = p.category AND c.product_id <> p.product_id
+ GROUP BY p.product_id) t ON t.product_id = l.product_id""")
+def _all_alternatives(ws):
     return tr.alternative_products(ws.low_stock, ws.alternative_candidates)
 
 
+@query("top_alternative_products", f"SELECT {_ALT} FROM v_low l JOIN v_alt_product a ON a.low_product = l.product_id")
+def _alternatives(ws):
+    return tr.top_alternative_products(ws.low_stock, ws.alternative_candidates, 3)
+
+
 view("v_surplus_stock", """
 SELECT product_id, product_name, category, store_id, store_name, city, q current_quantity, thr reorder_threshold,
  q - thr surplus_quantity, CASE WHEN q / CAST(thr AS DOUBLE) >= 3 THEN 'High' ELSE 'Medium' END opportunity_level,

@@ -143,7 +143,7 @@ class Workspace:
         return rc.exclusive(self.exclusive_items)
 
     def _make_alternative_option(self) -> DataFrame:
-        return rc.alternative(self.low_stock, self.alternative_candidates)
+        return rc.alternative(self.low_stock, self.alternative_candidates, rc.DEFAULTS.top_alternatives)
 
     def _make_discount(self) -> DataFrame:
         return rc.discount(self.slow_moving, self.overstock)

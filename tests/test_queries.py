@@ -13,7 +13,7 @@ from compare import compare, connect
 SF = "/root/testdata/sf0.001"
 CHOICE = """validate_table records_export table_health analyzer_counts inventory_from_transactions sales_summary
  product_performance low_stock_items high_demand_items inventory_analysis low_stock_alerts store_inventory_view
- category_summary_by_store transfer_opportunities exclusive_items alternative_products alternative_availability
+ category_summary_by_store transfer_opportunities exclusive_items alternative_products top_alternative_products alternative_availability
  overview_metrics sales_insights build_recommendations procurement_recs_with_memory memory_context learning_insights
  recommendation_context agent_cards executive_summary apply_orders apply_price_actions apply_transfers
  inventory_after_transfers new_alerts top_sold_by_store link_stores link_products classify_questions hash_embeddings

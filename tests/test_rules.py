@@ -141,7 +141,7 @@ def test_alternatives_equal_brute_force(spark):
     low_rows = [(f"P{i}", f"name{i}", "S0", "store0", "AB"[i % 2]) for i in range(12)]
     low = frame(spark, "product_id string, product_name string, store_id string, store_name string, category string", *low_rows)
     for one in (False, True):
-        got = tr.alternative_products(low, cand, top_n=4, one_per_product=one)
+        got = tr.top_alternative_products(low, cand, top_n=4, one_per_product=one)
         want = []
         for p, _, s, _, c in low_rows:
             ranked = sorted((r for r in rows if r[4] == c and r[0] != p), key=lambda r: (not r[5], -r[6], r[2], r[1]))
@@ -155,6 +155,12 @@ def test_alternatives_equal_brute_force(spark):
         assert values(got, "low_stock_product_id", "alternative_product_id", "alternative_store_id") == sorted(want)
 
 
+    pairs = [(p, r[0], r[1], r[5]) for p, _, _, _, c in low_rows for r in rows if r[4] == c and r[0] != p]
+    assert values(tr.alternative_pairs(low, cand), "low_product_id", "product_id", "store_id", "is_exclusive") == sorted(pairs)
+    totals = values(tr.alternative_products(low, cand), "low_stock_product_id", "alternative_total", "exclusive_total", "alternative_product_total")
+    assert totals == sorted((p, sum(x[0] == p for x in pairs), sum(x[0] == p and x[3] for x in pairs), len({x[1] for x in pairs if x[0] == p})) for p, *_ in low_rows)
+
+
 def test_sequential_ids_are_dense_over_partitions(spark):
     df = spark.range(1000).select(F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("k")).repartition(13)
     out = sequential_ids(df, ["k"], "X", 5, "row_id", start=7).orderBy("k").collect()
