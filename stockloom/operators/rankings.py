@@ -10,10 +10,6 @@ from stockloom.operators.datasets import KEYS
 from stockloom.operators.sales import in_time_scope
 
 
-def clamp_limit(limit: int, maximum: int = 10) -> int:
-    return max(1, min(limit, maximum))
-
-
 def in_stores(df: DataFrame, store_ids=()) -> DataFrame:
     return df.filter(F.col("store_id").isin(*store_ids)) if store_ids else df
 
@@ -45,7 +41,7 @@ def sales_ranking(
         rows.groupBy(*keys)
         .agg(F.sum("quantity_sold").alias("quantity_sold"), F.sum("sales_value").alias("sales_value"))
         .orderBy(first, name)
-        .limit(clamp_limit(limit))
+        .limit(max(1, limit))
     )
 
 
@@ -58,7 +54,7 @@ def ranked_products(sales: DataFrame, group: str, ascending: bool, limit: int =
     )
     first = F.asc("quantity_sold") if ascending else F.desc("quantity_sold")
     place = F.row_number().over(Window.partitionBy(group).orderBy(first, "product_name"))
-    return units.withColumn("place", place).filter(F.col("place") <= clamp_limit(limit))
+    return units.withColumn("place", place).filter(F.col("place") <= max(1, limit))
 
 
 def sales_summary_by_store(sales: DataFrame, store_ids=()) -> DataFrame:
@@ -109,7 +105,7 @@ def category_inventory_in(view: DataFrame, store_ids=()) -> DataFrame:
 
 def transfer_answer(analysis: DataFrame, kind: str, limit: int = 5) -> DataFrame:
     """Top shortages, surpluses or opportunities."""
-    limit = clamp_limit(limit)
+    limit = max(1, limit)
     if kind == "shortage":
         return tr.top_shortages(analysis, limit)
     if kind == "surplus":

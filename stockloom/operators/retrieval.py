@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -12,7 +10,7 @@ from stockloom.functions import text as tx
 from stockloom.functions.ids import sequential_numbers
 
 DIMENSION = 384
-MAX_QUERIES = 4096  # query vectors held by one task at a time
+DOCUMENTS, QUERIES = 8192, 1024  # rows of a block, about; they bound the memory of a task
 MAX_QUESTIONS = 1024  # questions sent along with every document row
 
 
@@ -75,22 +73,22 @@ def hash_embeddings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key).join(packed, key, "left").select(key, dense.alias("embedding"))
 
 
-def _nearest_in_batches(ids: list, vectors: np.ndarray, k: int, doc_key: str, column: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_id = [np.empty(0, dtype=np.int64)] * len(ids)
-        best_d = [np.empty(0)] * len(ids)
-        for pdf in batches:
-            docs = np.stack(pdf[column].to_numpy()).astype(np.float64)
-            keys = pdf[doc_key].to_numpy()
-            squares = (docs * docs).sum(axis=1)
-            for q in range(len(ids)):
-                d = squares + (vectors[q] ** 2).sum() - 2.0 * (docs @ vectors[q])
-                d = np.rint(np.maximum(d, 0) * 1e9) / 1e9
-                all_id, all_d = np.concatenate([best_id[q], keys]), np.concatenate([best_d[q], d])
-                keep = np.lexsort((all_id, all_d))[:k]
-                best_id[q], best_d[q] = all_id[keep], all_d[keep]
-        for q, query in enumerate(ids):
-            yield pd.DataFrame({"query_id": query, doc_key: best_id[q], "distance": best_d[q]})
+def _nearest_in_block(k: int, doc_key: str):
+    """The k nearest documents of a block for every query of a block: one matrix product, then an exact
+    order of those that are not beyond the kth distance."""
+
+    def run(key, docs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(docs) or not len(queries):
+            return pd.DataFrame({"query_id": queries["_id"].iloc[:0], doc_key: docs["_id"].iloc[:0], "distance": np.empty(0)})
+        d, q = (np.stack(x["_vector"].to_numpy()).astype(np.float64) for x in (docs, queries))
+        far = (d * d).sum(axis=1)[None, :] + (q * q).sum(axis=1)[:, None] - 2.0 * (q @ d.T)
+        far = np.rint(np.maximum(far, 0) * 1e9) / 1e9
+        limit = np.partition(far, min(k, far.shape[1]) - 1, axis=1)[:, min(k, far.shape[1]) - 1]
+        row, column = np.nonzero(far <= limit[:, None])
+        hits = pd.DataFrame(
+            {"query_id": queries["_id"].to_numpy()[row], doc_key: docs["_id"].to_numpy()[column], "distance": far[row, column], "_query": row}
+        )
+        return hits.sort_values(["_query", "distance", doc_key], kind="stable").groupby("_query").head(k).drop(columns="_query")
 
     return run
 
@@ -98,31 +96,26 @@ def _nearest_in_batches(ids: list, vectors: np.ndarray, k: int, doc_key: str, co
 def vector_search(queries: DataFrame, docs: DataFrame, k: int, query_key: str, doc_key: str, column: str = "embedding") -> DataFrame:
     """Exact k nearest documents of every query by squared distance.
 
-    The query side is counted first and split into groups of at most MAX_QUERIES vectors, so what a
-    task holds is bounded whatever the number of queries. Each task keeps k rows per query, and the
-    ranks are taken over those.
+    Both sides stay distributed: they are dealt into blocks of about DOCUMENTS and QUERIES rows, every block
+    of documents meets every block of queries once and keeps k rows per query, and the ranks are taken over
+    those. Ids keep their types.
     """
-    total = queries.count()
-    groups = max(1, -(-total // MAX_QUERIES))
-    bucket = F.pmod(F.xxhash64(query_key), F.lit(2 * groups if groups > 1 else 1))
+    blocks = lambda df, size: df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size)).cast("int").alias("n")).scalar()
+    n, m = blocks(docs, DOCUMENTS), blocks(queries, QUERIES)
+    dealt = lambda key, count: F.pmod(F.xxhash64(key), count).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    left = docs.select(dealt(doc_key, n).alias("block"), every(m).alias("ask"), F.col(doc_key).alias("_id"), F.col(column).alias("_vector"))
+    right = queries.select(every(n).alias("block"), dealt(query_key, m).alias("ask"), F.col(query_key).alias("_id"), F.col(column).alias("_vector"))
     schema = T.StructType(
         [
-            T.StructField("query_id", T.LongType()),
-            T.StructField(doc_key, T.LongType()),
+            T.StructField("query_id", queries.schema[query_key].dataType),
+            T.StructField(doc_key, docs.schema[doc_key].dataType),
             T.StructField("distance", T.DoubleType()),
         ]
     )
-    out = None
-    for g in range(2 * groups if groups > 1 else 1):
-        rows = queries.filter(bucket == g).select(query_key, column).collect()  # at most about MAX_QUERIES rows
-        if not rows and out is not None:
-            continue
-        ids = [r[0] for r in rows]
-        vectors = np.array([r[1] for r in rows], dtype=np.float64)
-        part = docs.select(doc_key, column).mapInPandas(_nearest_in_batches(ids, vectors, k, doc_key, column), schema)
-        out = part if out is None else out.unionByName(part)
+    found = left.groupBy("block", "ask").cogroup(right.groupBy("block", "ask")).applyInPandas(_nearest_in_block(k, doc_key), schema)
     nearest = Window.partitionBy("query_id").orderBy("distance", doc_key)
-    return out.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= k)
+    return found.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= k)
 
 
 # Which question words favour which datasets, and by how much.

@@ -35,7 +35,7 @@ def _ranking_category(ws):
 
 @query("sales_ranking_week", f"""
 SELECT product_id, product_name, category, {_SUMS} FROM v_sd WHERE lower(category) = 'brand#3' AND date >= (SELECT max(date) - 6 FROM v_sd WHERE lower(category) = 'brand#3')
-GROUP BY ALL ORDER BY quantity_sold, product_name LIMIT 10""")
+GROUP BY ALL ORDER BY quantity_sold, product_name LIMIT 50""")
 def _ranking_week(ws):
     return rk.sales_ranking(_sd(ws), ascending=True, category="Brand#3", time_scope="last_7_days", limit=50)
 
@@ -292,7 +292,14 @@ def _classify(ws):
     )
 
 
-@query("question_table")
+@query("question_table", """
+WITH a AS (SELECT 'general_inventory_question' intent, concat('There are ', CAST(sum(stock_level) AS BIGINT), ' units in the current inventory data.') answer FROM rt_inventory
+ UNION ALL SELECT 'sales_ranking', concat('Top seller: ', product_name, ' - ', q, ' units sold') FROM (
+  SELECT product_id, product_name, CAST(sum(quantity_sold) AS BIGINT) q FROM v_sd GROUP BY ALL ORDER BY q DESC, product_name LIMIT 1) s
+ UNION ALL SELECT 'supplier_risk', concat('The riskiest supplier in the current data is ', supplier_name, '.') FROM (
+  SELECT * FROM rt_suppliers ORDER BY reliability_score, avg_delivery_days DESC, supplier_id LIMIT 1) u
+ UNION ALL SELECT 'low_stock_by_store', concat(count(*), ' low-stock items in the current data.') FROM v_low)
+SELECT question_id, question, c.intent, coalesce(answer, '') answer FROM q_class c LEFT JOIN a ON a.intent = c.intent""")
 def _question_table(ws):
     total = rk.inventory_total(ws.inventory)
     best = rk.sales_ranking(_sd(ws), limit=1)
@@ -350,9 +357,17 @@ def _hash(ws):
     return rt.hash_weights(ws.parquet("documents"), "doc_id", "text")
 
 
-@query("hash_embeddings_dense")
+@query("hash_embeddings_dense", r"""
+WITH t AS (SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) token FROM documents),
+h AS (SELECT doc_id, CAST('0x' || substr(md5(token), 3, 2) || substr(md5(token), 1, 2) AS BIGINT) % 384 "position",
+ CASE WHEN CAST('0x' || substr(md5(token), 5, 2) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END s FROM t WHERE token <> ''),
+w AS (SELECT doc_id, "position", CAST(sum(s) AS BIGINT) total FROM h GROUP BY ALL HAVING sum(s) <> 0),
+x AS (SELECT doc_id, "position", total / sqrt(CAST(sum(total * total) OVER (PARTITION BY doc_id) AS DOUBLE)) weight FROM w)
+SELECT d.doc_id, p.p "position", CAST(round_even(CAST(CAST(coalesce(weight, 0) AS FLOAT) AS DOUBLE) * 1e6, 0) AS BIGINT) millionths
+FROM documents d CROSS JOIN (SELECT unnest(range(384)) p) p LEFT JOIN x ON x.doc_id = d.doc_id AND x."position" = p.p""")
 def _dense(ws):
-    return rt.hash_embeddings(ws.parquet("documents"), "doc_id", "text")
+    dense = rt.hash_embeddings(ws.parquet("documents"), "doc_id", "text").select("doc_id", F.posexplode("embedding").alias("position", "w"))
+    return dense.select("doc_id", F.col("position").cast("long").alias("position"), F.rint(F.col("w").cast("double") * 1e6).cast("long").alias("millionths"))
 
 
 @query("vector_search", """
@@ -436,10 +451,25 @@ def _dataset_counts(ws):
     return rt.dataset_counts(_hits(ws))
 
 
-@query("source_fingerprint")
+_PRINTED = {
+    "products": "product_id product_name category cost_price selling_price shelf_life_days reorder_threshold supplier_id",
+    "stores": "store_id store_name city capacity",
+    "suppliers": "supplier_id supplier_name avg_delivery_days reliability_score",
+    "inventory": "product_id store_id stock_level reorder_threshold last_updated",
+    "sales": "sale_id date product_id store_id quantity_sold selling_price",
+    "transactions": "transaction_id date transaction_type product_id store_id quantity source remarks",
+}
+
+
+def _print_sql(name):
+    values = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in _PRINTED[name].split())
+    return f"""SELECT '{name}' dataset, count(*) row_count,
+ CAST(coalesce(sum(CAST(CAST('0x' || md5({values})[1:15] AS UBIGINT) AS HUGEINT)), 0) AS VARCHAR) fingerprint FROM rt_{name}"""
+
+
+@query("source_fingerprint", " UNION ALL ".join(_print_sql(n) for n in _PRINTED))
 def _fingerprint(ws):
-    names = ["products", "stores", "suppliers", "inventory", "sales", "transactions"]
-    return content_fingerprint({n: getattr(ws, n) for n in names})
+    return content_fingerprint({n: getattr(ws, n).select(*columns.split()) for n, columns in _PRINTED.items()})
 
 
 @query("conversation_window", rf"""
