@@ -251,7 +251,8 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack
     """One row per document: doc_id, lang, n_signs, perplexity, threshold, kept."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     trusted = published(_trusted_ids(labels))
-    texts = rows.filter(_trains(F.col("doc_id"))).join(trusted, F.col("doc_id") == F.col("_trusted"), "left_semi")
+    # trusted ids grow with the corpus, so they are merged with the texts at every size, never broadcast
+    texts = rows.filter(_trains(F.col("doc_id"))).join(trusted.hint("merge"), F.col("doc_id") == F.col("_trusted"), "left_semi")
     model = published(fit(texts))
     salt = F.xxhash64("text").alias("text_hash")  # tells rows of one doc_id apart
     scored = log_probability(rows.select("doc_id", "lang", salt, "text"), model, entries)
