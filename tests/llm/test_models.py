@@ -96,7 +96,7 @@ def test_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language_id.identify(docs).collect()
     lang = {r.doc_id: r.lang for r in docs.collect()}
-    assert Counter(r.doc_id for r in rows) == Counter(lang)
+    assert Counter(r.doc_id for r in rows) == Counter(lang.keys())
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows)
     held = [r for r in rows if r.held_out]
     right = np.mean([r.lang_pred == lang[r.doc_id] for r in held])
