@@ -11,7 +11,6 @@ from stockloom.functions.ids import sequential_numbers
 
 DIMENSION = 384
 DOCUMENTS, QUERIES = 8192, 1024  # rows of a block, about; they bound the memory of a task
-MAX_QUESTIONS = 1024  # questions sent along with every document row
 
 
 def row_documents(name: str, df: DataFrame, key: list[str], order: int = 0) -> DataFrame:
@@ -169,45 +168,25 @@ def _best_hits(scored: DataFrame, k: int, question_key: str) -> DataFrame:
 def keyword_search(questions: DataFrame, docs: DataFrame, k: int, question_key: str = "question_id", question: str = "question") -> DataFrame:
     """Documents that share words with a question, by shared words plus dataset bonuses; the first k.
 
-    Up to MAX_QUESTIONS questions travel as one array to every document row: scores are made in place and
-    the rank limit prunes each partition to k rows per question before anything is shuffled. A larger
-    question table meets the documents in an equi-join on words instead.
+    A score depends on the dataset and on the document's words that occur in any question, nothing else. So
+    documents with the same such words are one profile, of which only the first k can ever be asked for.
+    Profiles, whose number follows the variety of the documents and not their rows, meet the questions in an
+    equi-join on words.
     """
-    q = questions.select(question_key, tx.token_set(question).alias("q_tokens")).withColumn(
-        "bonuses", dataset_bonuses(F.col("q_tokens"))
-    )
-    place = ["dataset", "dataset_order", "row_key"]
-    words = docs.select(*place, tx.token_set("text").alias("d_tokens"))
-    if questions.limit(MAX_QUESTIONS + 1).count() <= MAX_QUESTIONS:
-        asked = q.agg(F.collect_list(F.struct(question_key, "q_tokens", "bonuses")).alias("q")).scalar()
-        known = q.select(F.explode("q_tokens").alias("t")).agg(F.collect_set("t").alias("known")).scalar()
-        # Only words that occur in some question are compared; the explode of one element keeps the
-        # optimizer from repeating this step for every question.
-        words = words.select(*place, F.explode(F.array(F.array_intersect("d_tokens", known))).alias("d_tokens")).filter(
-            F.size("d_tokens") > 0
-        )
-        rated = F.transform(
-            F.col("asked"),
-            lambda x: F.struct(
-                x[question_key].alias(question_key),
-                F.size(F.array_intersect(x["q_tokens"], F.col("d_tokens"))).cast("long").alias("overlap"),
-                F.coalesce(x["bonuses"][F.col("dataset")], F.lit(0)).alias("bonus"),
-            ),
-        )
-        hits = (
-            words.withColumn("asked", asked)
-            .select(*place, F.explode(F.filter(rated, lambda x: x["overlap"] > 0)).alias("h"))
-            .select(*place, f"h.{question_key}", "h.overlap", (F.col("h.overlap") + F.col("h.bonus")).alias("score"))
-        )
-        return _best_hits(hits, k, question_key)
-    hits = (
-        words.select(*place, F.explode("d_tokens").alias("token"))
-        .join(q.select(question_key, F.explode("q_tokens").alias("token")), "token")
-        .groupBy(question_key, *place)
-        .agg(F.count(F.lit(1)).alias("overlap"))
+    q = questions.select(question_key, tx.token_set(question).alias("q_tokens"))
+    asked = q.select(question_key, F.explode("q_tokens").alias("token"))
+    words = docs.select("dataset", "dataset_order", "row_key", F.explode(tx.token_set("text")).alias("token"))
+    matched = words.join(asked.select("token").distinct(), "token", "left_semi").groupBy("dataset", "dataset_order", "row_key").agg(
+        F.array_sort(F.collect_set("token")).alias("profile")  # words of one document
     )
+    first = Window.partitionBy("dataset", "dataset_order", "profile").orderBy("row_key")
+    kept = matched.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= k)
+    profiles = kept.filter("nth = 1").select("dataset", "profile", F.explode("profile").alias("token"))
+    overlaps = profiles.join(asked, "token").groupBy(question_key, "dataset", "profile").agg(F.count(F.lit(1)).alias("overlap"))
+    bonuses = q.select(question_key, dataset_bonuses(F.col("q_tokens")).alias("bonuses"))
     bonus = F.coalesce(F.col("bonuses")[F.col("dataset")], F.lit(0))
-    return _best_hits(hits.join(q, question_key).withColumn("score", F.col("overlap") + bonus), k, question_key)
+    scored = overlaps.join(bonuses, question_key).withColumn("score", F.col("overlap") + bonus).drop("bonuses")
+    return _best_hits(scored.join(kept, ["dataset", "profile"]), k, question_key)
 
 
 def retrieval_plan(questions: DataFrame, question: str = "question") -> DataFrame:
