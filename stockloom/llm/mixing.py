@@ -175,16 +175,15 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
         F.collect_list(F.struct("from", "words", "times")).alias("_runs")  # of one document
     )
     runs = runs.groupBy(*keys).agg(F.flatten(F.collect_list("_runs")).alias("_runs"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
-    rows = rows.withColumn("_hash", F.xxhash64("_text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
     if mix.docs.count() > mix.docs.select("doc_id", "text_hash").distinct().count():
         rows = rows.dropDuplicates(keys)  # equal rows: their runs stand together
-    rows = rows.join(runs, rows["_id"].eqNullSafe(runs["_id"]) & (rows["_hash"] == runs["_hash"])).select("_row", "_text", "_runs")
+    rows = rows.join(runs, rows["_id"].eqNullSafe(runs["_id"]) & (rows["_hash"] == runs["_hash"])).select("_row", "_runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, texts = [], []
-            for k, (text, parts) in enumerate(zip(batch.column("_text").to_pylist(), batch.column("_runs").to_pylist())):
+            for k, (text, parts) in enumerate(zip(batch.column("_row").field("text").to_pylist(), batch.column("_runs").to_pylist())):
                 words = text.encode("utf-8", "surrogatepass").split()
                 parts = sorted((p["from"], p["words"], p["times"]) for p in parts)
                 for taken in range(1, max(p[2] for p in parts) + 1):
