@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
+
+from pyspark.sql import functions as F, types as T
 
 from stockloom.operators import analyzers as an, datasets as ds
 from stockloom.plans.catalog import query
 from stockloom.schemas import RAW_TABLES
+from stockloom.session import shared_folder
 from stockloom.sources import sinks, tables
 
 _ANALYSIS = """product_id, product_name, category, store_id, store_name, city, stock_level, effective_reorder_threshold,
@@ -14,17 +17,65 @@ _ANALYSIS = """product_id, product_name, category, store_id, store_name, city, s
  shelf_life_days, supplier_id, CAST(last_sale_date AS VARCHAR) last_sale_date"""
 
 
-@query("validate_table", """
-SELECT 'product_id' column_name, count(*) FILTER (WHERE product_id IS NULL) null_count FROM rt_products
-UNION ALL SELECT 'product_name', count(*) FILTER (WHERE product_name IS NULL) FROM rt_products
-UNION ALL SELECT 'category', count(*) FILTER (WHERE category IS NULL) FROM rt_products
-UNION ALL SELECT 'cost_price', count(*) FILTER (WHERE cost_price IS NULL) FROM rt_products
-UNION ALL SELECT 'selling_price', count(*) FILTER (WHERE selling_price IS NULL) FROM rt_products
-UNION ALL SELECT 'shelf_life_days', count(*) FILTER (WHERE shelf_life_days IS NULL) FROM rt_products
-UNION ALL SELECT 'reorder_threshold', count(*) FILTER (WHERE reorder_threshold IS NULL) FROM rt_products
-UNION ALL SELECT 'supplier_id', count(*) FILTER (WHERE supplier_id IS NULL) FROM rt_products""")
+def _null_sql(name):
+    one = "SELECT '{0}' table_name, '{1}' column_name, count(*) FILTER (WHERE {1} IS NULL) null_count FROM rt_{0}"
+    return " UNION ALL ".join(one.format(name, c) for c in _REQUIRED[name].split())
+
+
+_REQUIRED = {
+    "products": "product_id product_name category cost_price selling_price shelf_life_days reorder_threshold supplier_id",
+    "stores": "store_id store_name city capacity",
+    "suppliers": "supplier_id supplier_name avg_delivery_days reliability_score",
+    "inventory": "product_id store_id stock_level reorder_threshold last_updated",
+    "sales": "sale_id date product_id store_id quantity_sold selling_price",
+    "transactions": "transaction_id date transaction_type product_id store_id quantity source remarks",
+}
+
+
+@query("validate_table", " UNION ALL ".join(_null_sql(n) for n in _REQUIRED))
 def _validate(ws):
-    return tables.null_counts(ws.products, RAW_TABLES["products"].names)
+    out = None
+    for name, schema in RAW_TABLES.items():
+        one = tables.null_counts(getattr(ws, name), schema.names).select(F.lit(name).alias("table_name"), "column_name", "null_count")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _place(ws, name):
+    return f"{shared_folder(ws.spark)}/round_trips/{name}-{uuid.uuid4().hex}"
+
+
+@query("overwrite_round_trip", """
+SELECT product_id, store_id, stock_level, CAST(last_updated AS VARCHAR) last_updated FROM rt_inventory WHERE stock_level > 0""")
+def _overwrite(ws):
+    """A table written twice under one name, by store: only the second content is left."""
+    path = _place(ws, "overwrite")
+    rows = ws.inventory.select("product_id", "store_id", "stock_level", "last_updated")
+    sinks.overwrite(rows, path, ["store_id"])
+    sinks.overwrite(rows.filter("stock_level > 0"), path, ["store_id"])
+    return ws.spark.read.schema(rows.schema).parquet(path)
+
+
+@query("append_log_round_trip", """
+SELECT transaction_id, CAST(date AS VARCHAR) date, quantity, '' checked_by FROM rt_transactions
+UNION ALL SELECT transaction_id, CAST(date AS VARCHAR), -quantity, '' FROM rt_transactions WHERE quantity > 40""")
+def _append(ws):
+    """Two appends to one log; a text column of the layout that the rows lack is blank."""
+    path = _place(ws, "append")
+    layout = T.StructType([ws.transactions.schema[c] for c in ("transaction_id", "date", "quantity")] + [T.StructField("checked_by", T.StringType())])
+    rows = ws.transactions.select("transaction_id", "date", "quantity")
+    sinks.append_log(rows, path, layout)
+    sinks.append_log(rows.filter("quantity > 40").withColumn("quantity", -F.col("quantity")), path, layout)
+    return ws.spark.read.schema(layout).parquet(path)
+
+
+@query("export_csv_round_trip", """
+SELECT product_id, product_name, category, CAST(selling_price AS DOUBLE) selling_price, shelf_life_days FROM rt_products""")
+def _csv(ws):
+    path = _place(ws, "csv")
+    rows = ws.products.select("product_id", "product_name", "category", "selling_price", "shelf_life_days")
+    sinks.export_csv(rows, path)
+    return ws.spark.read.schema(rows.schema).option("header", True).csv(path)
 
 
 @query("records_export", """

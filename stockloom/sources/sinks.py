@@ -18,7 +18,7 @@ def append_log(df: DataFrame, path: str, schema: T.StructType, day_from: str | N
     rows = align_to_schema(df, schema)
     if day_from:
         rows = rows.withColumn("log_day", F.to_date(day_from))
-        rows.write.mode("append").partitionBy("log_day").parquet(path)
+        rows.repartition("log_day").write.mode("append").partitionBy("log_day").parquet(path)  # one file a day
     else:
         rows.write.mode("append").parquet(path)
 
