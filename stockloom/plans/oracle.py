@@ -87,7 +87,7 @@ SELECT CAST(l_shipdate AS DATE) order_date, l_orderkey order_seq, CAST(l_linenum
  concat('P', l_partkey) product_id, concat('S', c_nationkey) store_id, CAST(l_quantity AS BIGINT) quantity
 FROM rt_lines""")
 view("rt_questions", """
-SELECT event_id question_id, CASE event_id % 12
+SELECT event_id question_id, CASE event_id % 28
  WHEN 0 THEN concat('Top 5 selling products in NATION_', user_id % 25)
  WHEN 1 THEN concat('Which items are low stock in NATION_', user_id % 25, '?')
  WHEN 2 THEN 'Show transfer opportunities'
@@ -99,6 +99,22 @@ SELECT event_id question_id, CASE event_id % 12
  WHEN 8 THEN 'why'
  WHEN 9 THEN 'hello there'
  WHEN 10 THEN 'any good movies'
+ WHEN 11 THEN 'Any surplus stock today?'
+ WHEN 12 THEN 'Category wise inventory please'
+ WHEN 13 THEN 'Where is the highest inventory'
+ WHEN 14 THEN concat('What is overstock in NATION_', user_id % 25)
+ WHEN 15 THEN 'Show me understock rows'
+ WHEN 16 THEN 'Why did the agent suggest this?'
+ WHEN 17 THEN concat('Worst seling items in NATION_', user_id % 25)
+ WHEN 18 THEN concat('worst selling in NATION_', user_id % 25 % 5)
+ WHEN 19 THEN 'worst selling Brand#13'
+ WHEN 20 THEN concat('Higest sold items in NATION_', user_id % 25 % 7)
+ WHEN 21 THEN concat('highest solt in NATION_', user_id % 25 % 7)
+ WHEN 22 THEN 'highest sold Brand#22'
+ WHEN 23 THEN 'Compare the stores'
+ WHEN 24 THEN concat('How does P', 1 + user_id % 25, ' perform?')
+ WHEN 25 THEN concat('lowst 4 products by revenue for P', 1 + user_id % 25 % 9)
+ WHEN 26 THEN 'highest sales in hyderabadd'
  ELSE 'Lowest 3 items by revenue this week' END question
 FROM events""")
 

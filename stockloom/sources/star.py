@@ -177,8 +177,24 @@ class StarTables:
             8: F.lit("why"),
             9: F.lit("hello there"),
             10: F.lit("any good movies"),
+            11: F.lit("Any surplus stock today?"),
+            12: F.lit("Category wise inventory please"),
+            13: F.lit("Where is the highest inventory"),
+            14: F.concat(F.lit("What is overstock in NATION_"), user25),
+            15: F.lit("Show me understock rows"),
+            16: F.lit("Why did the agent suggest this?"),
+            17: F.concat(F.lit("Worst seling items in NATION_"), user25),
+            18: F.concat(F.lit("worst selling in NATION_"), user25 % 5),
+            19: F.lit("worst selling Brand#13"),
+            20: F.concat(F.lit("Higest sold items in NATION_"), user25 % 7),
+            21: F.concat(F.lit("highest solt in NATION_"), user25 % 7),
+            22: F.lit("highest sold Brand#22"),
+            23: F.lit("Compare the stores"),
+            24: F.concat(F.lit("How does P"), 1 + user25, F.lit(" perform?")),
+            25: F.concat(F.lit("lowst 4 products by revenue for P"), 1 + user25 % 9),
+            26: F.lit("highest sales in hyderabadd"),
         }
         text = F.lit("Lowest 3 items by revenue this week")
         for form, value in forms.items():
-            text = F.when(F.col("event_id") % 12 == form, value).otherwise(text)
+            text = F.when(F.col("event_id") % 28 == form, value).otherwise(text)
         return self.parquet("events").select(F.col("event_id").alias("question_id"), text.alias("question"))
