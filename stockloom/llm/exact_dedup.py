@@ -89,7 +89,7 @@ def _with_groups(docs: DataFrame, digest, salts: int, *more) -> DataFrame:
         keys, many = ["_digest", "_content"], groups.filter("group_size > 1")
     return (
         rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
-        .join(many.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "_salt"], "left")
+        .join(many.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge"), [*keys, "_salt"], "left")
         .withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id")))
         .withColumn("_stays", F.col("group_size").isNull() | (F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_n") == F.col("keep_n"))))
         .withColumn("group_size", F.coalesce("group_size", F.lit(1)).cast("long"))

@@ -275,5 +275,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sl
     bad = judged(docs, labels, quantile, slack, entries).filter("NOT kept").select(F.col("doc_id").alias("_bad"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), "text")
     rows = rows.filter(F.coalesce("text", F.lit("")) != "")
-    kept = rows.join(bad.filter("_bad IS NOT NULL").distinct(), F.col("_id") == F.col("_bad"), "left_anti")
+    kept = rows.join(bad.filter("_bad IS NOT NULL").distinct().hint("merge"), F.col("_id") == F.col("_bad"), "left_anti")
     return kept.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
