@@ -140,6 +140,8 @@ class Mix:
         drawn = self.spark.range(shards).mapInArrow(draw, "shard long, source_no int, n long")
         before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
         drawn = drawn.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).filter("n > 0")
+        # the rows grow here, which no estimate foresees: a few shards per task, whatever their bytes now
+        drawn = drawn.repartition(max(1, shards // 16), "shard")
         numbers = drawn.select("shard", "source_no", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("j"))
         return numbers.mapInArrow(choose, "shard long, source_no int, block long")
 
@@ -152,14 +154,14 @@ class Mix:
         end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * self.block)
         cut = cut.select("doc_id", "text_hash", "source_no", "start", "block", (begin - F.col("start")).alias("from"), (end - begin).alias("words"))
         times = self.slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-        return cut.join(times, ["source_no", "block"])
+        return cut.join(times.hint("merge"), ["source_no", "block"])  # as many rows as blocks: never broadcast
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
     mix = Mix(docs, **options)
     per_doc = mix.parts().groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    worded = mix.docs.filter("size > 0").join(per_doc, ["source_no", "start"], "left")
+    worded = mix.docs.filter("size > 0").join(per_doc.hint("merge"), ["source_no", "start"], "left")
     blank = mix.docs.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
     columns = ["doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")]
     return worded.select(*columns).unionByName(blank.select(*columns))
@@ -178,7 +180,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
     if mix.docs.count() > mix.docs.select("doc_id", "text_hash").distinct().count():
         rows = rows.dropDuplicates(keys)  # equal rows: their runs stand together
-    rows = rows.join(runs, rows["_id"].eqNullSafe(runs["_id"]) & (rows["_hash"] == runs["_hash"])).select("_row", "_runs")
+    rows = rows.join(runs.hint("merge"), rows["_id"].eqNullSafe(runs["_id"]) & (rows["_hash"] == runs["_hash"])).select("_row", "_runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
