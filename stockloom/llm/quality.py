@@ -36,8 +36,8 @@ BITS = 15
 #: Entries of a shard of the model.
 ENTRIES = 4_000_000
 QUANTILE = 0.99
-#: How far beyond the quantile a perplexity may lie.
-SLACK = 1.5
+#: Factor on the quantile; at 1.0 the quantile itself is the threshold.
+SLACK = 1.0
 ENOUGH = 50
 #: Characters that are counted or scored together.
 CHUNK = 1 << 21

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stockloom.llm import language_id, quality
 
@@ -79,6 +80,18 @@ def test_junk_goes_and_trusted_text_stays(spark, docs):
     assert stay.columns == docs.columns and {r.doc_id for r in stay.collect()} == {d for d, k in kept.items() if k}
 
 
+def test_the_threshold_is_the_quantile(spark, docs):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    held = {r.doc_id for r in docs.filter(~quality._trains(F.col("doc_id"))).collect()} & {r._trusted for r in quality._trusted_ids(labels).collect()}
+    rows = quality.judged(docs, labels).collect()
+    seen = sorted(r.perplexity for r in rows if r.doc_id in held and r.perplexity is not None)
+    assert len(seen) > 10
+    limit = seen[math.ceil(quality.QUANTILE * len(seen)) - 1]
+    by_lang = Counter(r.lang for r in rows if r.doc_id in held)
+    few = [r for r in rows if by_lang[r.lang] < quality.ENOUGH]
+    assert few and all(math.isclose(r.threshold, limit) for r in few)
+
+
 def test_odd_documents(spark, odd_docs, odd_rows, no_docs):
     none = spark.createDataFrame([], LABELS)
     rows = quality.judged(odd_docs, none).collect()
