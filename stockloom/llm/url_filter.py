@@ -4,7 +4,7 @@ A rule is a verdict with a host and a path prefix: it fits the host and its subd
 starts with the prefix, and the longest fitting rule decides. All other pages are judged by their host:
 hosts of pages that a rule allows seed trust, hosts of pages that a rule blocks seed distrust. Trust
 flows along the links between hosts, distrust against them (who links to blocked hosts is suspect),
-both by personalised PageRank. A host is blocked when its distrust reaches `threshold` times the mean
+both by personalised PageRank, iterated until it has converged. A host is blocked when its distrust reaches `threshold` times the mean
 score of a seeded host and exceeds its trust.
 
 Links are the absolute and scheme-relative targets of href and src in the pages' html, counted once per
@@ -18,6 +18,7 @@ gives an empty result. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import math
 import string
 from dataclasses import dataclass
 
@@ -26,10 +27,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stockloom.session import published
 
 DAMPING = 0.85
-ROUNDS = 8
 THRESHOLD = 0.05
+#: What may be missing from a score, in shares of a mean seeded host.
+TOLERANCE = 1e-6
+#: Rounds after which any graph with one seeded host has converged; more seeded hosts take more rounds.
+ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING))
 SALTS = 16
-#: Rounds between two cuts of the lineage.
+#: Rounds whose additions are summed up together.
 CUT = 4
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -100,23 +104,37 @@ def _flows(links: DataFrame) -> DataFrame:
     return both.join(sums, ["kind", "src", "salt"]).select("kind", "src", "dst", "salt", (F.col("n") / F.col("_sum")).alias("part"))
 
 
-def propagated(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """kind, host, score after `rounds` of personalised PageRank. `seeds` has kind, host and a share of 1 per kind."""
+def propagated(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """kind, host, score by converged personalised PageRank. `seeds` has kind, host and a share of 1 per kind.
+
+    The score is a sum of walks by their length: what a round adds is sent on by the next one. It shrinks by `damping`
+    at least, so the loop ends. It stops when all that could still come, which no host can exceed, is at most
+    `tolerance` times the mean share of a seeded host of either kind.
+    """
     flows = published(_flows(links))
-    base = seeds.select("kind", "host", (F.col("share") * (1 - damping)).alias("score"))
-    scores = seeds.select("kind", "host", F.col("share").alias("score"))
-    if flows.isEmpty():  # nothing flows: every round gives the same
-        return base
-    for k in range(1, rounds + 1):
-        spread = scores.select(F.col("kind"), F.col("host").alias("src"), "score", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    added = seeds.select("kind", "host", (F.col("share") * (1 - damping)).alias("score"))
+    if flows.isEmpty():  # nothing flows: no round adds anything
+        return added
+    least = seeds.groupBy("kind").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    least = tolerance / (least or 1)
+    scores, parts = None, [added]
+    while True:
+        spread = added.select(F.col("kind"), F.col("host").alias("src"), "score", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         came = flows.join(spread, ["kind", "src", "salt"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("part") * damping).alias("score"))
-        scores = base.unionByName(came).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if k % CUT == 0 or k == rounds:
-            scores = published(scores)
-    return scores
-
-
-def blocked_hosts(pages: DataFrame, rules: list[Rule], threshold: float = THRESHOLD, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+        added = published(came.groupBy("kind", "host").agg(F.sum("score").alias("score")))
+        parts.append(added)
+        most = max((r["s"] for r in added.groupBy("kind").agg(F.sum("score").alias("s")).collect()), default=0.0)  # two rows
+        done = most * damping / (1 - damping) <= least
+        if done or len(parts) >= CUT:
+            for part in parts:
+                scores = part if scores is None else scores.unionByName(part)
+            scores = published(scores.groupBy("kind", "host").agg(F.sum("score").alias("score")))
+            parts = []
+        if done:
+            return scores
+
+
+def blocked_hosts(pages: DataFrame, rules: list[Rule], threshold: float = THRESHOLD, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Hosts that the propagation blocks, with trust and distrust."""
     verdicts = {r.name: r.verdict for r in rules}
     host, path = host_of(F.col("url")), path_of(F.col("url"))
@@ -126,7 +144,7 @@ def blocked_hosts(pages: DataFrame, rules: list[Rule], threshold: float = THRESH
     seeds = published(seeds)
     sums = seeds.groupBy("kind").agg(F.sum("n").alias("_sum"), F.count("*").alias("_hosts"))  # two rows
     seeds = seeds.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("n") / F.col("_sum")).alias("share"), (1 / F.col("_hosts")).alias("mean"))
-    scores = propagated(host_links(pages), seeds, damping, rounds)
+    scores = propagated(host_links(pages), seeds, damping, tolerance)
     per_host = scores.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"),
@@ -135,13 +153,13 @@ def blocked_hosts(pages: DataFrame, rules: list[Rule], threshold: float = THRESH
     return per_host.crossJoin(F.broadcast(mean)).filter((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= threshold * F.col("mean"))).drop("mean")
 
 
-def judge(pages: DataFrame, rules: list[Rule], threshold: float = THRESHOLD, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], threshold: float = THRESHOLD, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict."""
     verdicts = {r.name: r.verdict for r in rules}
     salt = F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)).cast("int")
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), salt.alias("salt"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    bad = blocked_hosts(pages, rules, threshold, damping, rounds).select("host", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("bad"))
+    bad = blocked_hosts(pages, rules, threshold, damping, tolerance).select("host", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("bad"))
     said = None
     for name, verdict in verdicts.items():
         said = F.when(F.col("rule") == name, verdict) if said is None else said.when(F.col("rule") == name, verdict)

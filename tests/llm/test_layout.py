@@ -228,6 +228,31 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0), RULES).count() == 0
 
 
+def test_scores_have_converged(spark):
+    """On a chain towards a blocked host and on a graph with cycles, against the solved linear system."""
+    chain = [(0, "http://h0.io/", "")] + [(k, f"http://h{k}.io/", f'<a href="http://h{k - 1}.io/">') for k in range(1, 12)]
+    pages = spark.createDataFrame(chain, "page_id long, url string, html string")
+    rules = [url_filter.Rule("block", "h0.io")]
+    bad = {r.page_id for r in url_filter.judge(pages, rules).collect() if r.verdict == "block"}
+    assert bad == {0} | {k for k in range(1, 12) if 0.15 * 0.85**k >= url_filter.THRESHOLD} == set(range(7))
+    links = [("a", "b", 2), ("b", "c", 1), ("c", "a", 3), ("c", "d", 1), ("d", "e", 1), ("e", "d", 2), ("b", "e", 1)]
+    names = "abcde"
+    seeds = {("trust", "a"): 0.25, ("trust", "d"): 0.75, ("distrust", "e"): 1.0}
+    got = url_filter.propagated(
+        spark.createDataFrame(links, "src string, dst string, n long"),
+        spark.createDataFrame([(*k, x) for k, x in seeds.items()], "kind string, host string, share double"),
+    )
+    got = {(r.kind, r.host): r.score for r in got.collect()}
+    for kind in ("trust", "distrust"):
+        step = np.zeros((5, 5))
+        for a, b, n in links:
+            a, b = (names.index(a), names.index(b)) if kind == "trust" else (names.index(b), names.index(a))
+            step[b, a] += n
+        step /= np.maximum(step.sum(0), 1)
+        want = np.linalg.solve(np.eye(5) - 0.85 * step, 0.15 * np.array([seeds.get((kind, h), 0.0) for h in names]))
+        assert np.allclose([got.get((kind, h), 0.0) for h in names], want, atol=1e-6)
+
+
 def test_url_filter_of_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rows = url_filter.judge(pages, RULES).collect()
