@@ -38,7 +38,8 @@ class Encoder:
     """Token ids of whole texts, equal to those of the tokenizers library for a byte-level vocabulary file.
 
     The file's vocabulary and added tokens are given to tiktoken, whose merging of the same ranks is
-    several times cheaper; files that are not plain byte-level BPE are left to the tokenizers library.
+    several times cheaper; files that are not plain byte-level BPE are left to the tokenizers library, and so
+    is every text whose white-space runs are too long for tiktoken's pattern matching.
     """
 
     def __init__(self, path: str):
@@ -71,7 +72,13 @@ class Encoder:
         """Little-endian 32-bit ids of each text."""
         if self.fast is None:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        return [np.array(self.fast.encode(t, allowed_special="all"), "<u4").tobytes() for t in texts]
+        return [np.array(self._ids(t), "<u4").tobytes() for t in texts]
+
+    def _ids(self, text: str) -> list[int]:
+        try:
+            return self.fast.encode(text, allowed_special="all")
+        except ValueError:  # a run of about a million blanks exhausts the backtracking stack of the pattern
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -51,6 +51,18 @@ def test_ids_equal_the_library():
     assert got == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("blank", [" ", "\n"])
+def test_millions_of_blanks(spark, blank):
+    text = "a " + blank * 2_000_000 + "b"
+    encoder = packing.Encoder(BYTE)
+    assert encoder.fast is not None
+    ids = np.array(Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert encoder.encode(["x", text]) == [encoder.encode(["x"])[0], ids]
+    if blank == " ":
+        rows = packing.pack(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string"), BYTE).collect()
+        check_packing(rows, [(1, text), (2, "x")], 1024)
+
+
 def test_other_vocabularies_go_to_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     encoder = packing.Encoder(path)
