@@ -155,7 +155,18 @@ def exclusive(exclusive_items: DataFrame) -> DataFrame:
 def alternative(low_stock: DataFrame, candidates: DataFrame, top_n: int) -> DataFrame:
     """The best row of each of the `top_n` first alternative products of a low row. How many such records the
     whole relation has is `alternative_product_total` of `transfers.alternative_products`."""
-    rows = tr.top_alternative_products(low_stock, candidates, top_n, one_per_product=True)
+    return _alternative_records(tr.top_alternative_products(low_stock, candidates, top_n, one_per_product=True))
+
+
+def all_alternatives(low_stock: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The best row of every alternative product of a low row. The records grow with the square of a category."""
+    rows = tr.alternative_pairs(low_stock, tr.best_of_product(candidates))
+    names = {"low_product_id": "low_stock_product_id", "low_store_id": "low_stock_store_id", "product_id": "alternative_product_id",
+             "product_name": "alternative_product", "store_id": "alternative_store_id", "store_name": "alternative_store"}
+    return _alternative_records(rows.withColumnsRenamed(names).withColumn("priority", F.when(F.col("is_exclusive"), "high").otherwise("medium")))
+
+
+def _alternative_records(rows: DataFrame) -> DataFrame:
     return _records(
         rows,
         "alternative_option",

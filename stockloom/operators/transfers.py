@@ -298,6 +298,12 @@ def alternative_products(low_stock: DataFrame, candidates: DataFrame) -> DataFra
     )
 
 
+def best_of_product(candidates: DataFrame) -> DataFrame:
+    """The first row of each product in each category, in the order of alternatives."""
+    order = Window.partitionBy("category", "product_id").orderBy(*_alternative_order())
+    return candidates.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") == 1).drop("_rank")
+
+
 def alternative_pairs(low_stock: DataFrame, candidates: DataFrame, salts: int = 16) -> DataFrame:
     """All pairs of the relation, one row each; the candidates of a category are dealt over `salts` keys."""
     dealt = candidates.withColumn("salt", F.pmod(F.xxhash64(*KEYS), F.lit(salts)).cast("int"))

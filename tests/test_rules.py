@@ -161,6 +161,14 @@ def test_alternatives_equal_brute_force(spark):
     assert totals == sorted((p, sum(x[0] == p for x in pairs), sum(x[0] == p and x[3] for x in pairs), len({x[1] for x in pairs if x[0] == p})) for p, *_ in low_rows)
 
 
+def test_all_alternatives_are_recorded_once_per_product(spark):
+    cand = frame(spark, "product_id string, store_id string, product_name string, store_name string, category string, is_exclusive boolean, available_quantity long",
+                 *((f"P{p}", f"S{s}", f"name{p}", f"store{s}", "A", False, 10 * p + s) for p in range(9) for s in range(3)))
+    low = frame(spark, "product_id string, product_name string, store_id string, store_name string, category string", ("P0", "name0", "S0", "store0", "A"), ("P1", "name1", "S1", "store1", "A"))
+    got = values(rc.all_alternatives(low, cand), "product_id", "alternative_product_id", "alternative_store_id", "available_quantity", "priority")
+    assert got == sorted((low_id, f"P{p}", "S2", 10 * p + 2, "medium") for low_id in ("P0", "P1") for p in range(9) if f"P{p}" != low_id)
+
+
 def test_sequential_ids_are_dense_over_partitions(spark):
     df = spark.range(1000).select(F.concat(F.lit("k"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("k")).repartition(13)
     out = sequential_ids(df, ["k"], "X", 5, "row_id", start=7).orderBy("k").collect()
