@@ -52,7 +52,7 @@ def compare(spark, con, fn, sql: str, sf_dir: str) -> str:
     if got_cols != want_cols:
         return f"columns {got_cols} != {want_cols}"
     spark_types = dict(df.dtypes)
-    expected = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    expected = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
     wrong = [(c, spark_types[c], types[c]) for c in got_cols if expected.get(spark_types[c]) != types[c]]
     if wrong:
         return f"types {wrong}"
