@@ -81,7 +81,7 @@ walk AS (SELECT *, quantity <= stock_level accepted, CASE WHEN quantity <= stock
 SELECT product_id, store_id, CAST(order_date AS VARCHAR) order_date, order_seq, line_seq, quantity, accepted, remaining_stock FROM walk""")
 def _orders(ws):
     requests = StreamTables(ws.spark, ws.sf_dir).order_requests.withColumn("line_seq", F.col("line_seq").cast("long"))
-    return jobs.run_to_table(jobs.apply_orders(requests, ws.inventory)).drop("available_quantity")
+    return jobs.run_to_table(jobs.apply_orders(requests, ws.inventory), store=jobs.ROCKSDB)
 
 
 @query("stream_ledger", """

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
 import uuid
 from collections.abc import Iterator
+from itertools import chain, islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from stockloom.functions.exprs import signed_quantity, whole
 from stockloom.operators.datasets import KEYS
@@ -15,6 +18,16 @@ from stockloom.schemas import extended
 from stockloom.session import shared_folder
 
 LATENESS = "2 days"
+#: The state store for running stock; it keeps state on disk, so that it may outgrow the memory.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+#: What orders the requests of a product and store.
+ORDER_SEQUENCE = ["day", "order_seq", "line_seq", "quantity"]
+#: Stands for a null in it.
+LAST = (1 << 62) - 1
+#: Rows of a piece put aside, and of a frame of results.
+PIECE, FRAME = 256, 10_000
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 64) -> DataFrame:
@@ -27,18 +40,25 @@ def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger:
     )
 
 
-def run_to_table(stream: DataFrame, folder: str | None = None, mode: str = "append") -> DataFrame:
-    """Process everything available into a parquet table and read it back."""
+def run_to_table(stream: DataFrame, folder: str | None = None, mode: str = "append", store: str | None = None) -> DataFrame:
+    """Process everything available into a parquet table and read it back. `store` names the state store provider."""
     spark = stream.sparkSession
     base = folder or f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
-    query = (
+    writer = (
         stream.writeStream.format("parquet")
         .outputMode(mode)
         .option("path", f"{base}/table")
         .option("checkpointLocation", f"{base}/progress")
         .trigger(availableNow=True)
-        .start()
     )
+    before = spark.conf.get(_STORE, None)
+    if store:
+        spark.conf.set(_STORE, store)  # a query takes the setting when it starts
+    try:
+        query = writer.start()
+    finally:
+        if store:
+            spark.conf.set(_STORE, before) if before else spark.conf.unset(_STORE)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/table")
 
@@ -99,35 +119,83 @@ def new_alerts(rows: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["alert_key"])
 
 
-def _take(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Orders of one key in a micro-batch, in (ts, sequence) order, against the remaining stock."""
-    rows = pd.concat(list(batches), ignore_index=True)
-    rows = rows.sort_values(["order_date", "order_seq", "line_seq", "quantity"], kind="stable")
-    remaining = state.get[0] if state.exists else int(rows["available_quantity"].iloc[0])
-    accepted, left = [], []
-    for quantity in rows["quantity"]:
-        ok = 0 < quantity <= remaining
-        remaining -= quantity if ok else 0
-        accepted.append(ok)
-        left.append(remaining)
-    state.update((int(remaining),))
-    yield rows.assign(accepted=accepted, remaining_stock=left)
+class OrderTaker(StatefulProcessor):
+    """Takes the orders of one product and store from its remaining stock, in sequence.
+
+    State: the remaining stock, which starts as the inventory's, and the orders of the running micro-batch that do
+    not fit into one frame. Such a batch is merge-sorted: every frame is sorted and put aside in pieces of PIECE
+    rows, then the frames are merged while one piece of each is in memory, and the pieces leave the state again.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.remaining = handle.getValueState("remaining", "stock long")
+        self.pending = handle.getMapState("pending", "run long, piece long", "rows binary")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.remaining.update((int(initialState["stock"].iloc[0]),))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frames = (pdf[ORDER_SEQUENCE].sort_values(ORDER_SEQUENCE, kind="stable") for pdf in rows)
+        first, second = next(frames, None), next(frames, None)
+        if first is None:
+            return
+        stock = self.remaining.get()[0] if self.remaining.exists() else 0
+        if second is None:
+            sorted_frames = iter([first])
+        else:
+            pieces = {run: self._put_aside(run, pdf) for run, pdf in enumerate(chain([first, second], frames))}
+            sorted_frames = self._merged(pieces)
+        for pdf in sorted_frames:
+            accepted, left = [], []
+            for quantity in pdf["quantity"].tolist():
+                ok = 0 < quantity <= stock
+                stock -= quantity if ok else 0
+                accepted.append(ok)
+                left.append(stock)
+            out = pdf.assign(accepted=accepted, remaining_stock=left)
+            out.insert(0, "product_id", key[0])
+            out.insert(1, "store_id", key[1])
+            yield out
+        self.remaining.update((int(stock),))
+
+    def _put_aside(self, run: int, pdf: pd.DataFrame) -> int:
+        pieces = range(0, len(pdf), PIECE)
+        for number, start in enumerate(pieces):
+            self.pending.updateValue((run, number), (pdf.iloc[start : start + PIECE].to_numpy(np.int64).tobytes(),))
+        return len(pieces)
+
+    def _taken_up(self, run: int, pieces: int) -> Iterator[tuple]:
+        for number in range(pieces):
+            rows = np.frombuffer(self.pending.getValue((run, number))[0], np.int64).reshape(-1, len(ORDER_SEQUENCE))
+            self.pending.removeKey((run, number))
+            yield from map(tuple, rows.tolist())
+
+    def _merged(self, pieces: dict[int, int]) -> Iterator[pd.DataFrame]:
+        merged = heapq.merge(*(self._taken_up(run, n) for run, n in pieces.items()))
+        while rows := list(islice(merged, FRAME)):
+            yield pd.DataFrame(rows, columns=ORDER_SEQUENCE)
+
+    def close(self) -> None:
+        pass
 
 
 def apply_orders(requests: DataFrame, inventory: DataFrame) -> DataFrame:
     """Accept or reject a stream of orders with the remaining stock per product and store as state.
 
-    The first order of a key takes its stock from the inventory table; orders for pairs that are not in it
-    find no stock and are rejected.
+    The stock of the inventory is the initial state, read when the query starts for the first time; orders for pairs
+    that are not in it find no stock and are rejected. Inside a micro-batch orders are taken by date and sequence,
+    nulls last. Needs the RocksDB state store: run it with `run_to_table(..., store=ROCKSDB)`.
     """
-    stock = inventory.select(*KEYS, whole("stock_level").alias("available_quantity"))
-    rows = requests.join(stock, KEYS, "left").select(
-        "product_id", "store_id", "order_date", "order_seq", "line_seq", "quantity",
-        F.coalesce("available_quantity", F.lit(0)).cast("long").alias("available_quantity"),
+    stock = inventory.groupBy(*KEYS).agg(F.sum(whole("stock_level")).cast("long").alias("stock")).filter("stock > 0")
+    known = lambda c: F.coalesce(c.cast("long"), F.lit(LAST))
+    rows = requests.select(
+        *KEYS, known(F.datediff("order_date", F.lit("1970-01-01"))).alias("day"), *(known(F.col(c)).alias(c) for c in ORDER_SEQUENCE[1:-1]), whole("quantity").cast("long").alias("quantity")
     )
     schema = extended(rows.schema, accepted="boolean", remaining_stock="long")
-    return rows.groupBy(*KEYS).applyInPandasWithState(
-        _take, schema, "remaining long", "append", GroupStateTimeout.NoTimeout
+    taken = rows.groupBy(*KEYS).transformWithStateInPandas(OrderTaker(), schema, "append", "none", initialState=stock.groupBy(*KEYS))
+    back = lambda c: F.nullif(F.col(c), F.lit(LAST))
+    return taken.select(
+        *KEYS, F.date_add(F.lit("1970-01-01").cast("date"), back("day").cast("int")).alias("order_date"), *(back(c).alias(c) for c in ORDER_SEQUENCE[1:-1]), "quantity", "accepted", "remaining_stock"
     )
 
 
