@@ -37,8 +37,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from stockloom.session import published
 
 K = 20
-#: Documents of a block; with its postings and tables it bounds the memory of a task.
+#: Most documents and about as many postings of a block; with its tables they bound the memory of a task.
 BLOCK = 8192
+POSTINGS = 1 << 18
+#: Blocks of a task, at most; small tables have a task for every 1024 documents.
+BLOCKS = 16
 #: Terms of the items of a slice.
 LIMIT = 200_000
 #: Intervals taken from the queue at once.
@@ -84,14 +87,12 @@ class Block:
         # the larger impact wins, then the earlier document
         level = (self.gain << PLACE_BITS) | ((1 << PLACE_BITS) - 1 - doc[order])
         counts = np.bincount(term) if len(term) else np.zeros(1, np.int64)
-        tables = [level]
-        for k in range(1, int(counts.max()).bit_length()):
-            half = 1 << (k - 1)
-            below = tables[-1]
-            above = below.copy()
-            above[:-half] = np.maximum(below[:-half], below[half:])
-            tables.append(above)
-        self.tables = np.stack(tables)
+        self.tables = np.empty((max(1, int(counts.max()).bit_length()), len(level)), np.int64)
+        self.tables[0] = level
+        for k in range(1, len(self.tables)):
+            half, below = 1 << (k - 1), self.tables[k - 1]
+            np.maximum(below[:-half], below[half:], out=self.tables[k, :-half])
+            self.tables[k, -half:] = below[-half:]
 
     def _maxima(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The table entry of the largest impact in every [low, high) of posting places; 0 where it is empty."""
@@ -129,7 +130,7 @@ class Block:
             for i, bound in enumerate(bounds.tolist()):
                 if bound and open_(bound, starts[i]):
                     number += 1
-                    heapq.heappush(queue, (-bound, number, starts[i], ends[i], split[i], lows[i], highs[i]))
+                    heapq.heappush(queue, (-bound, number, starts[i], ends[i], split[i], lows[i].copy(), highs[i].copy()))
 
         put([0], [self.size], low[None, :], high[None, :])
         while queue:
@@ -199,6 +200,16 @@ def _counted(docs: DataFrame, vocabulary) -> DataFrame:
     return rows.mapInArrow(count, "doc_id long, n long, terms array<int>, tfs array<int>")
 
 
+def _cuts(sizes: np.ndarray, block: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows for blocks, given the postings of each row."""
+    upto, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        before = upto[start - 1] if start else 0
+        end = min(start + block, max(start + 1, int(np.searchsorted(upto, before + POSTINGS, side="right"))))
+        yield start, end
+        start = end
+
+
 def _best(counted: DataFrame, shared, total: int, tokens: int, k: int, block: int) -> DataFrame:
     """item, doc_id, score: the best k of every task for each item."""
 
@@ -206,8 +217,8 @@ def _best(counted: DataFrame, shared, total: int, tokens: int, k: int, block: in
         asked, weights = shared.value
         best: list[list[tuple[int, int]]] = [[] for _ in asked]
         for batch in batches:
-            for start in range(0, batch.num_rows, block):
-                part = batch.slice(start, block)
+            for start, end in _cuts(np.diff(batch.column("terms").offsets.to_numpy()), block):
+                part = batch.slice(start, end - start)
                 ids = np.array([LAST if d is None else d for d in part.column("doc_id").to_pylist()], np.int64)
                 norms = np.array([normaliser(n, total, tokens) for n in part.column("n").to_pylist()], np.int64)
                 sizes = np.diff(part.column("terms").offsets.to_numpy())
@@ -223,7 +234,7 @@ def _best(counted: DataFrame, shared, total: int, tokens: int, k: int, block: in
         columns = list(zip(*rows)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["item", "doc_id", "score"])
 
-    found = counted.filter(F.size("terms") > 0).mapInArrow(search, "item long, doc_id long, score long")
+    found = counted.mapInArrow(search, "item long, doc_id long, score long")
     return found.filter("score > 0")
 
 
@@ -238,7 +249,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = K, block: int = BLOCK, li
         rows = asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == part).toArrow().to_pylist()
         vocabulary = {t: i for i, t in enumerate(sorted({bytes(r["term"]) for r in rows}))}
         counted = published(_counted(docs, context.broadcast(vocabulary)))
-        sums = counted.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
+        sums = counted.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.size("terms") > 0)).first()
         total, tokens = int(sums[0]), int(sums[1])
         df = dict(counted.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow().to_pandas().itertuples(index=False))
         weights = np.array([weight(total, int(df.get(i, 0))) for i in range(len(vocabulary))], np.int64)
@@ -247,7 +258,10 @@ def search(docs: DataFrame, items: DataFrame, k: int = K, block: int = BLOCK, li
             per_item.setdefault(r["item_id"], []).append((vocabulary[bytes(r["term"])], r["times"]))
         numbers = sorted(per_item, key=lambda i: (i is None, i or 0))
         lists = [(j, *(np.array(c, np.int64) for c in zip(*per_item[i]))) for j, i in enumerate(numbers)]
-        found = _best(counted, context.broadcast((lists, weights)), total, tokens, k, block)
+        rows_held = int(sums[2])
+        tasks = max(-(-rows_held // (BLOCKS * block)), min(4 * context.defaultParallelism, -(-rows_held // 1024)), 1)
+        spread = counted.filter(F.size("terms") > 0).repartition(tasks)  # few bytes, much work
+        found = _best(spread, context.broadcast((lists, weights)), total, tokens, k, block)
         names = docs.sparkSession.createDataFrame([(j, i) for j, i in enumerate(numbers)], "item long, item_id long")
         order = [F.desc("score"), F.asc_nulls_last("doc_id")]
         salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
