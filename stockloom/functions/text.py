@@ -189,3 +189,24 @@ def ranking_metric(t: Column) -> Column:
 
 def ranking_entity(t: Column, has_category: Column) -> Column:
     return F.when(t.contains("category") & ~has_category, "category").otherwise("product")
+
+
+def time_scope(t: Column) -> Column:
+    """The period that a question names; blank when none."""
+    week = has_any(t, ["this week", "last 7 days", "past 7 days"])
+    return F.when(week, "last_7_days").when(t.contains("today"), "today").otherwise("")
+
+
+def transfer_kind(t: Column) -> Column:
+    """Whether a question about transfers is after surpluses, shortages or (the top) opportunities."""
+    return (
+        F.when(has_any(t, ["surplus", "excess stock"]), "surplus")
+        .when(has_any(t, ["shortage", "stockout risk", "stock out risk", "low stock branch"]), "shortage")
+        .when(has_any(t, ["top", "best"]), "top")
+        .otherwise("recommended")
+    )
+
+
+def names_a_place(t: Column) -> Column:
+    """Whether the question ends with `in`, `at` or `for` and some words."""
+    return t.rlike(r"\b(in|at|for)\s+[a-z][a-z0-9\s]{2,}$")

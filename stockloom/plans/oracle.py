@@ -87,7 +87,7 @@ SELECT CAST(l_shipdate AS DATE) order_date, l_orderkey order_seq, CAST(l_linenum
  concat('P', l_partkey) product_id, concat('S', c_nationkey) store_id, CAST(l_quantity AS BIGINT) quantity
 FROM rt_lines""")
 view("rt_questions", """
-SELECT event_id question_id, CASE event_id % 28
+SELECT event_id question_id, CASE event_id % 41
  WHEN 0 THEN concat('Top 5 selling products in NATION_', user_id % 25)
  WHEN 1 THEN concat('Which items are low stock in NATION_', user_id % 25, '?')
  WHEN 2 THEN 'Show transfer opportunities'
@@ -115,6 +115,19 @@ SELECT event_id question_id, CASE event_id % 28
  WHEN 24 THEN concat('How does P', 1 + user_id % 25, ' perform?')
  WHEN 25 THEN concat('lowst 4 products by revenue for P', 1 + user_id % 25 % 9)
  WHEN 26 THEN 'highest sales in hyderabadd'
+ WHEN 28 THEN 'Which branches have the highest shortage'
+ WHEN 29 THEN 'Which branch has excess stock, top 3'
+ WHEN 30 THEN concat('Extra stock of P', 10 + user_id % 25, ' in NATION_', user_id % 25 % 4)
+ WHEN 31 THEN concat('Alternatives for P', 30 + user_id % 25)
+ WHEN 32 THEN concat('alternative product in NATION_', 3 + user_id % 25 % 9)
+ WHEN 33 THEN concat('Which supplier is riskiest for P', 40 + user_id % 25)
+ WHEN 34 THEN concat('How much stock of P', 60 + user_id % 25, ' is in NATION_', 3 + user_id % 25 % 5)
+ WHEN 35 THEN concat('Sales in NATION_', user_id % 25)
+ WHEN 36 THEN 'top selling category by sales value today'
+ WHEN 37 THEN concat('understock in NATION_', user_id % 25)
+ WHEN 38 THEN concat('Category inventory in NATION_', user_id % 25)
+ WHEN 39 THEN concat('Only available in NATION_', user_id % 25 % 6)
+ WHEN 40 THEN 'fastest moving items in Asia'
  ELSE 'Lowest 3 items by revenue this week' END question
 FROM events""")
 

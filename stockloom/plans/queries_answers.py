@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stockloom.functions import exprs as ex, text as tx
-from stockloom.operators import questions as qu, rankings as rk, retrieval as rt, sales as sa, stock_views as sv
+from stockloom.operators import answers as aw, questions as qu, rankings as rk, retrieval as rt, sales as sa, stock_views as sv
 from stockloom.plans.catalog import query
 from stockloom.plans.oracle import view
 from stockloom.sources.fingerprint import content_fingerprint
@@ -326,27 +326,154 @@ def _classify(ws):
     )
 
 
+_NUM = lambda v: f"format('{{:,}}', CAST({v} AS BIGINT))"
+_MONEY = lambda v: f"concat(format('{{:,}}', CAST(floor({v}) AS BIGINT)), '.', lpad(CAST(CAST(({v} - floor({v})) * 100 AS BIGINT) AS VARCHAR), 2, '0'))"
+
+# The check works text by text, with the links themselves as scopes.
+view("q_par", rf"""
+SELECT c.normal, c.intent, c.direction = 'ascending' ascending, c.metric, c.category, e.entity, coalesce(s.n, 0) store_n, coalesce(p.n, 0) product_n,
+ coalesce(s.label, '') label, coalesce(s.said, s.label, '') asked_label, p.first_product,
+ CASE WHEN {_HAS('c.normal', ['this week', 'last 7 days', 'past 7 days'])} THEN 6 WHEN contains(c.normal, 'today') THEN 0 END span,
+ CAST(greatest(1, least(10, coalesce(CAST(coalesce(nullif(regexp_extract(c.normal, '\btop\s+(\d+)\b', 1), ''),
+  nullif(regexp_extract(c.normal, '\bleast\s+(\d+)\b', 1), ''), nullif(regexp_extract(c.normal, '\blowest\s+(\d+)\b', 1), ''),
+  nullif(regexp_extract(c.normal, '\bhighest\s+(\d+)\b', 1), ''), nullif(regexp_extract(c.normal, '\b(\d+)\s+(?:items|item|products|product)\b', 1), '')) AS BIGINT),
+  CASE WHEN c.intent = 'sales_ranking' AND e.entity = 'category' AND NOT regexp_matches(c.normal, '\b\d+\b') THEN 1 ELSE 5 END))) AS BIGINT) lim,
+ CASE WHEN {_HAS('c.normal', ['surplus', 'excess stock'])} THEN 'surplus'
+  WHEN {_HAS('c.normal', ['shortage', 'stockout risk', 'stock out risk', 'low stock branch'])} THEN 'shortage' ELSE 'opportunity' END kind
+FROM (SELECT DISTINCT normal, intent, direction, metric, category FROM q_class) c
+JOIN (SELECT normal, max(CASE WHEN contains(normal, 'category') AND category = '' THEN 'category' ELSE 'product' END) entity FROM q_class GROUP BY normal) e ON e.normal = c.normal
+LEFT JOIN (SELECT normal, count(*) n, CASE WHEN count(*) = 1 THEN min(store_name) WHEN count(DISTINCT city) = 1 THEN min(city) ELSE 'the matched stores' END label,
+ min(CASE WHEN contains(normal, lower(city)) THEN city END) said FROM q_store JOIN rt_stores ON store_id = entity GROUP BY normal) s ON s.normal = c.normal
+LEFT JOIN (SELECT normal, count(*) n, arg_min(product_name, product_id) first_product FROM q_product JOIN rt_products ON product_id = entity GROUP BY normal) p ON p.normal = c.normal""")
+view("q_pair", """
+SELECT a.normal, s.store_id, p.product_id FROM q_par a
+JOIN (SELECT normal, entity store_id FROM q_store UNION ALL SELECT normal, NULL FROM q_par WHERE store_n = 0) s ON s.normal = a.normal
+JOIN (SELECT normal, entity product_id FROM q_product UNION ALL SELECT normal, NULL FROM q_par WHERE product_n = 0) p ON p.normal = a.normal""")
+view("q_cell", """
+SELECT store_id, product_id, product_name, category, date, CAST(sum(quantity_sold) AS BIGINT) q, sum(sales_value) v FROM v_sd GROUP BY ALL""")
+view("q_sold", """
+SELECT normal, product_id, product_name, category of_category, CAST(sum(q) AS BIGINT) q, sum(v) v, max(newest) newest FROM (
+ SELECT *, max(date) OVER (PARTITION BY normal) newest FROM (
+  SELECT a.normal, a.span, a.intent, c.* FROM q_par a JOIN q_store s ON s.normal = a.normal JOIN q_cell c ON c.store_id = s.entity
+  WHERE intent IN ('sales_ranking', 'least_sold_product_by_store', 'top_sold_product_by_store', 'least_sold_products_ranked_by_store', 'top_sold_products_ranked_by_store',
+   'sales_summary_by_store', 'product_performance') AND (intent <> 'sales_ranking' OR a.category = '' OR lower(trim(c.category)) = lower(trim(a.category)))
+  UNION ALL SELECT a.normal, a.span, a.intent, c.* FROM q_par a JOIN q_cell c ON (intent = 'product_performance' AND store_n = 0) OR (intent = 'sales_ranking' AND store_n = 0 AND
+   (a.category = '' OR lower(trim(c.category)) = lower(trim(a.category)))) OR (intent IN ('least_sold_product_by_category', 'top_sold_product_by_category')
+   AND lower(trim(c.category)) = lower(trim(a.category)))) r) t
+WHERE intent <> 'sales_ranking' OR span IS NULL OR date >= newest - span GROUP BY ALL""")
+view("q_ranked", """
+SELECT *, count(*) OVER (PARTITION BY normal) n FROM (SELECT a.*, t.name, t.of_category, t.q, t.v, t.newest, row_number() OVER (PARTITION BY a.normal ORDER BY
+  CASE WHEN down THEN CASE WHEN money THEN v ELSE q END ELSE -CASE WHEN money THEN v ELSE q END END, t.name, t.product_id) place
+ FROM (SELECT *, CASE WHEN intent = 'sales_ranking' THEN ascending ELSE starts_with(intent, 'least') END down, intent = 'sales_ranking' AND metric = 'revenue' money,
+   intent = 'sales_ranking' AND entity = 'category' whole, CASE WHEN intent IN ('sales_ranking', 'least_sold_products_ranked_by_store', 'top_sold_products_ranked_by_store') THEN lim ELSE 1 END most
+  FROM q_par) a
+ JOIN (SELECT normal, false whole, product_id, product_name AS name, of_category, q, v, newest FROM q_sold
+  UNION ALL SELECT normal, true, '', of_category, of_category, CAST(sum(q) AS BIGINT), sum(v), max(newest) FROM q_sold WHERE trim(of_category) <> '' GROUP BY normal, of_category) t
+  ON t.normal = a.normal AND t.whole = a.whole WHERE a.intent NOT IN ('sales_summary_by_store', 'product_performance')) r WHERE place <= most""")
+view("q_line_sales", rf"""
+SELECT normal, place, concat(place, '. **', name, '** - ', CASE WHEN money THEN concat({_MONEY('v')}, ' sales value (', {_NUM('q')}, ' units sold)') ELSE concat({_NUM('q')}, ' units sold') END) line
+ FROM q_ranked WHERE intent = 'sales_ranking'
+UNION ALL SELECT normal, 0, concat(CASE WHEN contains(normal, 'fastest moving') THEN 'Fastest moving' WHEN down THEN 'Lowest' ELSE 'Top' END, ' ', n, ' selling ',
+  CASE WHEN whole THEN 'categories' WHEN category <> '' THEN concat(category, ' products') ELSE 'items' END, CASE WHEN store_n > 0 THEN concat(' in ', asked_label) ELSE '' END,
+  CASE span WHEN 6 THEN concat(' for the week ending ', (SELECT max(newest) FROM q_ranked z WHERE z.normal = q_ranked.normal)) WHEN 0 THEN concat(' on ', (SELECT max(newest) FROM q_ranked z WHERE z.normal = q_ranked.normal)) ELSE '' END,
+  ' by ', CASE WHEN money THEN 'revenue' ELSE 'units sold' END, ':') FROM q_ranked WHERE intent = 'sales_ranking' AND place = 1
+UNION ALL SELECT normal, place, concat(place, '. ', name, ' - ', q, ' units') FROM q_ranked WHERE intent IN ('least_sold_products_ranked_by_store', 'top_sold_products_ranked_by_store')
+UNION ALL SELECT normal, 0, concat('The ', CASE WHEN down THEN 'least' ELSE 'top' END, ' ', n, ' selling items in ', label, ' are:') FROM q_ranked
+ WHERE intent IN ('least_sold_products_ranked_by_store', 'top_sold_products_ranked_by_store') AND place = 1
+UNION ALL SELECT normal, 0, concat('The ', CASE WHEN down THEN 'least sold' ELSE 'top selling' END, ' product in ', label, ' is ', name, ', with ', q, ' units sold in the current sales data.')
+ FROM q_ranked WHERE intent IN ('least_sold_product_by_store', 'top_sold_product_by_store')
+UNION ALL SELECT normal, 0, concat('The ', CASE WHEN down THEN 'least' ELSE 'most' END, ' sold ', trim(of_category), ' product is ', name, ', with ', q, ' units sold.')
+ FROM q_ranked WHERE intent IN ('least_sold_product_by_category', 'top_sold_product_by_category')
+UNION ALL SELECT a.normal, 0, concat('Sales in ', label, ' total ', CAST(sum(q) AS BIGINT), ' units in the current sales data, worth about ', {_MONEY('sum(v)')}, '.')
+ FROM q_par a JOIN q_sold t ON t.normal = a.normal WHERE a.intent = 'sales_summary_by_store' GROUP BY a.normal, label
+UNION ALL SELECT normal, 0, concat(product_name, ' has sold ', q, ' units in ', CASE WHEN store_n > 0 THEN label ELSE 'the available sales data' END, '.')
+ FROM (SELECT a.*, t.product_name, t.q, row_number() OVER (PARTITION BY a.normal ORDER BY q DESC, t.product_id) rn FROM q_par a JOIN q_product l ON l.normal = a.normal
+  JOIN q_sold t ON t.normal = a.normal AND t.product_id = l.entity WHERE a.intent = 'product_performance') b WHERE rn = 1""")
+
+
+def _listed(intent, table, columns, order, limit, line, head, store="store_id", product=None):
+    """Lines of a list in the scope of each text, with their heading."""
+    on = f"(a.store_n = 0 OR EXISTS (SELECT 1 FROM q_store s WHERE s.normal = a.normal AND s.entity = r.{store}))"
+    if product:
+        on += f" AND (a.product_n = 0 OR EXISTS (SELECT 1 FROM q_product p WHERE p.normal = a.normal AND p.entity = r.{product}))"
+    rows = f"(SELECT a.normal, a.label, a.store_n, a.lim, {columns}, row_number() OVER (PARTITION BY a.normal ORDER BY {order}) place FROM q_par a JOIN {table} r ON {on} WHERE a.intent = '{intent}')"
+    return f"""SELECT normal, place, concat(place, '. {line}) line FROM {rows} b WHERE place <= {limit}
+UNION ALL SELECT DISTINCT normal, 0, {head} FROM {rows} b"""
+
+
+_ALL = "CASE WHEN store_n > 0 THEN label ELSE 'all stores' END"
+view("q_line_stock", "\nUNION ALL ".join([
+    _listed("exclusive_availability", "v_excl", "product_name, exclusive_store_name, available_quantity", "available_quantity DESC, product_name, product_id", "lim",
+            "**', product_name, '** is only available at ', exclusive_store_name, ' with ', available_quantity, ' units.'",
+            f"concat('Exclusive store availability in ', {_ALL}, ':')", "exclusive_store_id"),
+    _listed("surplus_stock", "v_surplus_stock", "product_name, store_name, current_quantity, surplus_quantity", "opportunity_level, surplus_quantity DESC, product_name, store_id", "lim",
+            "**', product_name, '** at ', store_name, ' has ', current_quantity, ' units, with ', surplus_quantity, ' units above threshold.'",
+            "'Stores and products with extra stock:'", product="product_id"),
+    _listed("store_understock", "(SELECT * FROM v_view WHERE stock_status = 'Low Stock')", "product_name, current_quantity, reorder_threshold", "priority, shortage_quantity DESC, product_id, store_id", "8",
+            "**', product_name, '** has ', current_quantity, ' units against threshold ', reorder_threshold, '.'", f"concat('Understocked items in ', {_ALL}, ':')"),
+    _listed("store_overstock", "(SELECT * FROM v_view WHERE stock_status = 'Overstock')", "product_name, current_quantity, surplus_quantity", "surplus_quantity DESC, current_quantity DESC, product_id, store_id", "8",
+            "**', product_name, '** has ', current_quantity, ' units; surplus is ', surplus_quantity, ' units.'", f"concat('Overstocked items in ', {_ALL}, ':')"),
+]) + f"""
+UNION ALL SELECT normal, place, CASE place WHEN 0 THEN concat('Category-wise inventory in ', {_ALL}, ':') ELSE concat(place, '. **', category, '**: ', units, ' units.') END
+ FROM (SELECT a.normal, a.label, a.store_n, r.category, CAST(sum(r.current_quantity) AS BIGINT) units, row_number() OVER (PARTITION BY a.normal ORDER BY sum(r.current_quantity) DESC, r.category) place
+  FROM q_par a JOIN v_view r ON a.store_n = 0 OR EXISTS (SELECT 1 FROM q_store s WHERE s.normal = a.normal AND s.entity = r.store_id)
+  WHERE a.intent = 'category_inventory' GROUP BY a.normal, a.label, a.store_n, r.category
+  UNION ALL SELECT normal, label, store_n, '', 0, 0 FROM q_par WHERE intent = 'category_inventory') t WHERE place <= 8
+UNION ALL SELECT normal, 0, concat(store_name, ' has the highest inventory with ', units, ' units.') FROM q_par, (SELECT store_name, CAST(sum(current_quantity) AS BIGINT) units
+  FROM v_view GROUP BY store_id, store_name ORDER BY units DESC, store_id LIMIT 1) t WHERE intent = 'store_inventory_comparison'
+UNION ALL SELECT a.normal, 0, concat(a.label, ' has ', count(*), CASE WHEN count(*) = 1 THEN ' low-stock item' ELSE ' low-stock items' END, ' in the current data.')
+ FROM q_par a JOIN q_store s ON s.normal = a.normal JOIN v_low l ON l.store_id = s.entity WHERE a.intent = 'low_stock_by_store' GROUP BY a.normal, a.label
+UNION ALL SELECT a.normal, 0, concat('There are ', CAST(sum(i.stock_level) AS BIGINT), ' units in ', CASE WHEN store_n > 0 THEN label ELSE 'the current inventory data' END, '.')
+ FROM q_par a JOIN q_pair x ON x.normal = a.normal JOIN rt_inventory i ON (x.store_id IS NULL OR i.store_id = x.store_id) AND (x.product_id IS NULL OR i.product_id = x.product_id)
+ WHERE a.intent = 'general_inventory_question' GROUP BY a.normal, label, store_n""")
+view("q_line_other", """
+SELECT normal, place, concat(place, '. If **', low_stock_product, '** is low at ', low_stock_store, ', offer **', alternative_product, '** as a ',
+  CASE alternative_type WHEN 'same_product_transfer' THEN 'transfer source' ELSE 'category alternative' END, ' from ', alternative_store, ' with ', available_quantity, ' units.') line
+ FROM (SELECT a.normal, a.lim, r.*, row_number() OVER (PARTITION BY a.normal ORDER BY alternative_type DESC, available_quantity DESC, alternative_product, low_stock_product, low_stock_store, alternative_store) place
+  FROM q_par a JOIN v_avail r ON (a.product_n = 0 OR EXISTS (SELECT 1 FROM q_product p JOIN rt_products d ON d.product_id = p.entity WHERE p.normal = a.normal AND d.product_name IN (r.low_stock_product, r.alternative_product)))
+   AND (a.store_n = 0 OR EXISTS (SELECT 1 FROM q_store s JOIN rt_stores d ON d.store_id = s.entity WHERE s.normal = a.normal AND d.store_name IN (r.low_stock_store, r.alternative_store)))
+  WHERE a.intent = 'alternative_options') t WHERE place <= lim
+UNION ALL SELECT normal, place, concat(place, '. **', product_name, '** at ', store_name, ' - ', CAST(round_even(surplus, 0) AS BIGINT), ' units available above transfer buffer')
+ FROM q_par, (SELECT *, row_number() OVER (ORDER BY surplus_score DESC, surplus DESC, product_id, store_id) place FROM v_surp) t WHERE intent = 'transfer_analysis' AND kind = 'surplus' AND place <= lim
+UNION ALL SELECT normal, place, concat(place, '. **', product_name, '** at ', store_name, ' - ', stock_level, ' units on hand, threshold ', inv_thr, ', ',
+  CAST(round_even(dleft * 10, 0) / 10 AS DECIMAL(20, 1)), ' days remaining')
+ FROM q_par, (SELECT *, row_number() OVER (ORDER BY shortage_score DESC, vel DESC, product_id, store_id) place FROM v_short) t WHERE intent = 'transfer_analysis' AND kind = 'shortage' AND place <= lim
+UNION ALL SELECT normal, place, concat(place, '. Transfer **', product_name, '**', chr(10), '   From: ', source_store_name, chr(10), '   To: ', target_store_name, chr(10),
+  '   Suggested Quantity: ', suggested_quantity, ' units', chr(10), '   Priority: ', priority)
+ FROM q_par, (SELECT *, row_number() OVER (ORDER BY priority, opportunity_score DESC, suggested_quantity DESC, product_id, target_store_id) place FROM v_opp) t
+ WHERE intent = 'transfer_analysis' AND kind = 'opportunity' AND place <= lim
+UNION ALL SELECT normal, 0, concat('The riskiest supplier in the current data is ', supplier_name, '.') FROM (
+ SELECT a.normal, u.supplier_name, row_number() OVER (PARTITION BY a.normal ORDER BY l.supplier_id IS NULL, u.reliability_score, u.avg_delivery_days DESC, u.supplier_id) rn
+ FROM q_par a CROSS JOIN rt_suppliers u LEFT JOIN (SELECT DISTINCT normal, supplier_id FROM q_product JOIN rt_products ON product_id = entity) l
+  ON l.normal = a.normal AND l.supplier_id = u.supplier_id WHERE a.intent = 'supplier_risk') t WHERE rn = 1""")
+view("q_answer", r"""
+WITH lines AS (SELECT normal, place, line FROM q_line_sales UNION ALL SELECT normal, place, line FROM q_line_stock UNION ALL SELECT normal, place, line FROM q_line_other),
+heads AS (SELECT a.normal, 0 place, CASE WHEN intent = 'alternative_options' THEN 'Alternative options for low-stock items:' WHEN kind = 'surplus' THEN 'Highest surplus stock signals:'
+  WHEN kind = 'shortage' THEN 'Highest shortage risk branches:' WHEN contains(a.normal, 'top') OR contains(a.normal, 'best') THEN 'Top transfer opportunities:' ELSE 'Recommended transfer opportunities:' END line
+ FROM q_par a WHERE intent IN ('alternative_options', 'transfer_analysis') AND a.normal IN (SELECT normal FROM q_line_other)),
+told AS (SELECT normal, string_agg(line, chr(10) ORDER BY place) answer FROM (SELECT * FROM lines UNION ALL SELECT * FROM heads) t GROUP BY normal)
+SELECT a.normal, CASE WHEN a.intent = 'sales_ranking' AND store_n = 0 AND category = '' AND regexp_matches(a.normal, '\b(in|at|for)\s+[a-z][a-z0-9\s]{2,}$')
+  THEN 'I could not find enough sales records for that location in the current dataset.' ELSE coalesce(t.answer, CASE
+ WHEN intent = 'sales_ranking' THEN 'I could not find enough sales records for that location in the current dataset.'
+ WHEN store_n = 0 AND (contains(intent, 'by_store')) THEN 'I couldn''t match that store or city yet. Can you check whether it exists in the stores?'
+ WHEN intent = 'low_stock_by_store' THEN concat('I don''t see any low-stock items in ', label, ' right now.')
+ WHEN contains(intent, 'by_store') THEN concat('I couldn''t find sales data for ', label, ' yet.')
+ WHEN contains(intent, 'by_category') THEN concat('I found sales data, but not for the ', category, ' category.')
+ WHEN intent = 'product_performance' AND product_n > 0 THEN concat('I couldn''t find sales data for ', first_product, ' in that scope yet.')
+ WHEN intent = 'transfer_analysis' THEN 'No major transfer imbalance is currently detected across stores.'
+ WHEN intent = 'exclusive_availability' THEN concat('I do not see any products exclusively available in ', CASE WHEN store_n > 0 THEN label ELSE 'the current data' END, ' right now.')
+ WHEN intent = 'surplus_stock' THEN 'I do not see any products with major surplus stock in that scope right now.'
+ WHEN intent = 'alternative_options' THEN 'I do not see a same-category alternative option for the matched low-stock item right now.'
+ WHEN intent = 'store_understock' THEN concat('I do not see understocked items in ', CASE WHEN store_n > 0 THEN label ELSE 'all stores' END, ' right now.')
+ WHEN intent = 'store_overstock' THEN concat('I do not see overstocked items in ', CASE WHEN store_n > 0 THEN label ELSE 'all stores' END, ' right now.')
+ WHEN intent = 'general_inventory_question' THEN 'I couldn''t find inventory rows for that product or store yet.' ELSE '' END) END answer
+FROM q_par a LEFT JOIN told t ON t.normal = a.normal""")
+
+
 @query("question_table", """
-WITH a AS (SELECT 'general_inventory_question' intent, concat('There are ', CAST(sum(stock_level) AS BIGINT), ' units in the current inventory data.') answer FROM rt_inventory
- UNION ALL SELECT 'sales_ranking', concat('Top seller: ', product_name, ' - ', q, ' units sold') FROM (
-  SELECT product_id, product_name, CAST(sum(quantity_sold) AS BIGINT) q FROM v_sd GROUP BY ALL ORDER BY q DESC, product_name LIMIT 1) s
- UNION ALL SELECT 'supplier_risk', concat('The riskiest supplier in the current data is ', supplier_name, '.') FROM (
-  SELECT * FROM rt_suppliers ORDER BY reliability_score, avg_delivery_days DESC, supplier_id LIMIT 1) u
- UNION ALL SELECT 'low_stock_by_store', concat(count(*), ' low-stock items in the current data.') FROM v_low)
-SELECT question_id, question, c.intent, coalesce(answer, '') answer FROM q_class c LEFT JOIN a ON a.intent = c.intent""")
+SELECT question_id, question, c.intent, a.answer FROM q_class c JOIN q_answer a ON a.normal = c.normal""")
 def _question_table(ws):
-    total = rk.inventory_total(ws.inventory)
-    best = rk.sales_ranking(_sd(ws), limit=1)
-    worst = rk.riskiest_supplier(ws.suppliers, ws.product_performance)
-    low = ws.low_stock.agg(F.count(F.lit(1)).alias("n"))
-    say = lambda df, intent, *parts: df.select(F.lit(intent).alias("intent"), F.concat(*parts).alias("answer"))
-    answers = (
-        say(total, "general_inventory_question", F.lit("There are "), F.col("total_stock"), F.lit(" units in the current inventory data."))
-        .unionByName(say(best, "sales_ranking", F.lit("Top seller: "), F.col("product_name"), F.lit(" - "), F.col("quantity_sold"), F.lit(" units sold")))
-        .unionByName(say(worst, "supplier_risk", F.lit("The riskiest supplier in the current data is "), F.col("supplier_name"), F.lit(".")))
-        .unionByName(say(low, "low_stock_by_store", F.col("n"), F.lit(" low-stock items in the current data.")))
-    )
-    return qu.answered_questions(_classified(ws), answers)
+    return aw.question_table(ws, ws.questions)
 
 
 # --- retrieval --------------------------------------------------------------------------------

@@ -193,8 +193,21 @@ class StarTables:
             24: F.concat(F.lit("How does P"), 1 + user25, F.lit(" perform?")),
             25: F.concat(F.lit("lowst 4 products by revenue for P"), 1 + user25 % 9),
             26: F.lit("highest sales in hyderabadd"),
+            28: F.lit("Which branches have the highest shortage"),
+            29: F.lit("Which branch has excess stock, top 3"),
+            30: F.concat(F.lit("Extra stock of P"), 10 + user25, F.lit(" in NATION_"), user25 % 4),
+            31: F.concat(F.lit("Alternatives for P"), 30 + user25),
+            32: F.concat(F.lit("alternative product in NATION_"), 3 + user25 % 9),
+            33: F.concat(F.lit("Which supplier is riskiest for P"), 40 + user25),
+            34: F.concat(F.lit("How much stock of P"), 60 + user25, F.lit(" is in NATION_"), 3 + user25 % 5),
+            35: F.concat(F.lit("Sales in NATION_"), user25),
+            36: F.lit("top selling category by sales value today"),
+            37: F.concat(F.lit("understock in NATION_"), user25),
+            38: F.concat(F.lit("Category inventory in NATION_"), user25),
+            39: F.concat(F.lit("Only available in NATION_"), user25 % 6),
+            40: F.lit("fastest moving items in Asia"),
         }
         text = F.lit("Lowest 3 items by revenue this week")
         for form, value in forms.items():
-            text = F.when(F.col("event_id") % 28 == form, value).otherwise(text)
+            text = F.when(F.col("event_id") % 41 == form, value).otherwise(text)
         return self.parquet("events").select(F.col("event_id").alias("question_id"), text.alias("question"))
