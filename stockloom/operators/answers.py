@@ -53,9 +53,11 @@ def _scopes(links: DataFrame, name: str, column: str) -> tuple[DataFrame, DataFr
 def asked(questions: DataFrame, stores: DataFrame, products: DataFrame) -> dict[str, DataFrame]:
     """`texts` (normal, intent, ask), `asks` (one row per tuple of parameters), `store_scopes`, `product_scopes`."""
     texts = questions.select(tx.normalized("question").alias("normal")).distinct()
-    store_links = qu.linked(texts, qu.store_aliases(stores), qu.STORE_CUTOFF)
-    product_links = qu.linked(texts, qu.product_aliases(products), qu.PRODUCT_CUTOFF)
-    category = qu.linked_category(texts, qu.category_aliases(products)).withColumnRenamed("entity", "category")
+    # links are costly and read several times; there are a few per text
+    texts = published(texts)
+    store_links = published(qu.linked(texts, qu.store_aliases(stores), qu.STORE_CUTOFF))
+    product_links = published(qu.linked(texts, qu.product_aliases(products), qu.PRODUCT_CUTOFF))
+    category = published(qu.linked_category(texts, qu.category_aliases(products)).withColumnRenamed("entity", "category"))
     per_store, store_scopes = _scopes(store_links, "store_scope", "store_id")
     per_product, product_scopes = _scopes(product_links, "product_scope", "product_id")
 
@@ -438,16 +440,15 @@ def _without_rows() -> Column:
 def answers(ws, parts: dict[str, DataFrame]) -> DataFrame:
     """ask, answer for every tuple of parameters."""
     asks = parts["asks"]
-    lines = reduce(
-        DataFrame.unionByName,
-        [
-            _sales_answers(sa.sales_dataset(ws.sales, ws.stores, ws.products), asks, parts),
-            _stock_answers(ws, asks, parts),
-            _alternative_answers(ws, asks, parts, ws.stores, ws.products),
-            _transfer_answers(ws, asks),
-            _supplier_answers(ws, asks, parts),
-        ],
-    )
+    families = [
+        _sales_answers(sa.sales_dataset(ws.sales, ws.stores, ws.products), asks, parts),
+        _stock_answers(ws, asks, parts),
+        _alternative_answers(ws, asks, parts, ws.stores, ws.products),
+        _transfer_answers(ws, asks),
+        _supplier_answers(ws, asks, parts),
+    ]
+    # a few lines per ask; written family by family, since one plan of all would be optimised over and over
+    lines = reduce(DataFrame.unionByName, map(published, families))
     # at most MOST + 1 lines each
     joined = lines.groupBy("ask").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("lines"))
     told = joined.select("ask", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("found"))
