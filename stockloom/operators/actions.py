@@ -11,7 +11,10 @@ from stockloom.functions.exprs import alert_key, text, whole
 from stockloom.functions.ids import next_prefixed_ids
 from stockloom.operators.datasets import KEYS
 from stockloom.operators.folds import ORDER_STEP, PRICE_STEP, ordered_fold
-from stockloom.schemas import ALERT_LOG, CUSTOMER_ORDERS, DECISIONS, RISK_ACTIONS, SALES, TRANSACTIONS, extended
+from stockloom.operators.graphs import components
+from stockloom.schemas import (
+    ALERT_LOG, CUSTOMER_ORDERS, DECISIONS, PRICE_UPDATES, PROCUREMENT_ORDERS, RISK_ACTIONS, SALES, TRANSACTIONS, TRANSFER_ACTIONS, extended,
+)
 from stockloom.session import published
 from stockloom.sources.tables import align_to_schema
 
@@ -189,67 +192,98 @@ def products_after_prices(products: DataFrame, applied: DataFrame, order: list[s
 
 
 def _moves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walk the moves of each product in order; the state is the stock of the stores met so far."""
-    product, stock = None, {}
+    """Walk the moves of each group of stores in order; the state is the stock of the stores met so far."""
+    group, stock = None, {}
     for pdf in batches:
-        accepted = []
-        columns = (pdf[c] for c in ("product_id", "source_store_id", "target_store_id", "quantity", "source_stock", "target_stock"))
-        for p, src, tgt, qty, src0, tgt0 in zip(*columns):
-            if p != product:
-                product, stock = p, {}
-            has = stock.setdefault(src, src0)
-            ok = not pd.isna(has) and has >= qty
+        accepted, available = [], []
+        columns = (pdf[c] for c in ("product_id", "component", "source_store_id", "target_store_id", "quantity", "source_stock", "target_stock"))
+        for p, c, src, tgt, qty, src0, tgt0 in zip(*columns):
+            if (p, c) != group:
+                group, stock = (p, c), {}
+            has = None if src is None else stock.setdefault(src, src0)
+            ok = src is None or (not pd.isna(has) and has >= qty)
             if ok:
-                stock[src] = has - qty
+                if src is not None:
+                    stock[src] = has - qty
                 before = stock.setdefault(tgt, tgt0)
                 stock[tgt] = qty + (0 if pd.isna(before) else before)
             accepted.append(ok)
-        yield pdf.assign(accepted=accepted)
+            available.append(None if has is None or pd.isna(has) else int(has))
+        yield pdf.assign(accepted=accepted, available=pd.array(available, "Int64"))
 
 
-def applied_transfers(actions: DataFrame, inventory: DataFrame, order: list[str]) -> DataFrame:
-    """Transfers in sequence per product: accepted when the source has the stock at its turn.
+#: A product with more moves than this is walked by groups of stores.
+SPLIT = 10_000
+
+
+def applied_moves(moves: DataFrame, inventory: DataFrame, order: list[str], split: int = SPLIT) -> DataFrame:
+    """Valid moves of stock in sequence per product, with `accepted` and, for walked ones, the `available` stock.
 
-    A source that holds all that is ever asked of it never refuses, whatever the order, so products
-    with only such sources are settled by an aggregation. The others are walked in order, a product at a
-    time, as a stream of rows with the stock of its stores as the only state.
+    A move without a source store brings stock in and is always accepted; one with a source is accepted when the
+    source has the stock at its turn. A product whose sources hold all that is ever asked of them never refuses,
+    whatever the order; the others are walked in order as a stream of rows with the stock of the stores met as the
+    only state. Moves between stores that no move connects never meet, so a product of more than `split` moves is
+    walked by its connected groups of stores, each in its own task, and groups without a short source not at all.
     """
     src = inventory.select("product_id", F.col("store_id").alias("source_store_id"), whole("stock_level").alias("source_stock"))
     tgt = inventory.select("product_id", F.col("store_id").alias("target_store_id"), whole("stock_level").alias("target_stock"))
-    checked = with_errors(
+    asked = moves.groupBy("product_id", "source_store_id").agg(F.sum("quantity").alias("asked"), F.count(F.lit(1)).alias("n"))
+    judged = asked.join(src, ["product_id", "source_store_id"], "left").withColumn(
+        "short", F.col("source_store_id").isNotNull() & (F.col("source_stock").isNull() | (F.col("asked") > F.col("source_stock")))
+    )
+    products = judged.groupBy("product_id").agg(F.bool_or("short").alias("short"), (F.sum("n") > split).alias("hot"))
+    contended = published(products.filter("short").select("product_id", "hot"))  # one row per product
+    hot = contended.filter("hot").select("product_id")
+    marked = moves.join(contended.filter("NOT hot").select("product_id", F.lit("").alias("component")), "product_id", "left")
+    if not hot.isEmpty():
+        crowded = moves.join(hot, "product_id", "left_semi")
+        edges = crowded.select(
+            F.col("product_id").alias("space"), F.coalesce("source_store_id", "target_store_id").alias("a"), F.col("target_store_id").alias("b")
+        ).distinct()
+        found = components(edges)
+        lacking = judged.filter("short").join(hot, "product_id", "left_semi").select(F.col("product_id").alias("space"), F.col("source_store_id").alias("node"))
+        lacking = found.join(lacking, ["space", "node"]).select("space", "component").distinct()
+        groups = found.join(lacking, ["space", "component"]).select(
+            F.col("space").alias("product_id"), F.col("node").alias("target_store_id"), F.col("component").alias("group")
+        )
+        marked = marked.join(groups, ["product_id", "target_store_id"], "left").withColumn("component", F.coalesce("component", "group")).drop("group")
+    easy = marked.filter("component is null").withColumns({"accepted": F.lit(True), "available": F.lit(None).cast("long")})
+    walk = (
+        marked.filter("component is not null")
+        .join(src, ["product_id", "source_store_id"], "left")
+        .join(tgt, ["product_id", "target_store_id"], "left")
+    )
+    schema = extended(walk.schema, accepted="boolean", available="long")
+    keys = ["product_id", "component"]
+    walked = walk.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(_moves, schema)
+    columns = [*moves.columns, "accepted", "available"]
+    return easy.select(*columns).unionByName(walked.select(*columns))
+
+
+def checked_transfers(actions: DataFrame) -> DataFrame:
+    """Transfers with the first failing check of their values."""
+    return with_errors(
         actions,
         positive_whole("quantity", "Transfer quantity"),
         required_text("source_store_id", "Source store"),
         required_text("target_store_id", "Target store"),
         F.when(F.col("source_store_id") == F.col("target_store_id"), "Source and target stores must be different."),
     )
-    valid = checked.filter("error = ''")
-    asked = valid.groupBy("product_id", "source_store_id").agg(F.sum("quantity").alias("asked"))
-    short = (
-        asked.join(src, ["product_id", "source_store_id"], "left")
-        .filter(F.col("source_stock").isNull() | (F.col("asked") > F.col("source_stock")))
-        .select("product_id")
-        .distinct()
-        .withColumn("contended", F.lit(True))
-    )
-    marked = valid.join(short, "product_id", "left")
-    easy = marked.filter(F.col("contended").isNull()).drop("contended").withColumn("accepted", F.lit(True))
-    walk = (
-        marked.filter("contended")
-        .drop("contended")
-        .join(src, ["product_id", "source_store_id"], "left")
-        .join(tgt, ["product_id", "target_store_id"], "left")
-    )
-    schema = extended(walk.schema, accepted="boolean")
-    walked = walk.repartition("product_id").sortWithinPartitions("product_id", *order).mapInPandas(_moves, schema)
-    refused = F.when(F.col("accepted"), "").otherwise("Source store does not have the stock.")
-    done = easy.unionByName(walked.select(*easy.columns)).withColumn("error", refused)
+
+
+def applied_transfers(actions: DataFrame, inventory: DataFrame, order: list[str]) -> DataFrame:
+    """Transfers in sequence per product: accepted when the source has the stock at its turn."""
+    checked = checked_transfers(actions)
+    done = applied_moves(checked.filter("error = ''"), inventory, order).drop("available")
+    done = done.withColumn("error", F.when(F.col("accepted"), "").otherwise("Source store does not have the stock."))
     return done.unionByName(checked.filter("error <> ''").withColumn("accepted", F.lit(False)))
 
 
 def inventory_after_moves(inventory: DataFrame, deltas: DataFrame, products: DataFrame, day: str) -> DataFrame:
-    """Inventory with summed (product, store, delta) rows; new rows take the product's threshold."""
-    total = deltas.groupBy(*KEYS).agg(F.sum("delta").alias("delta"))
+    """Inventory with summed (product, store, delta) rows; new rows take the product's threshold, or the `threshold` of
+    their first row by `place` where the rows have one."""
+    given = F.min_by("threshold", "place") if "threshold" in deltas.columns else F.lit(None).cast("long")
+    total = deltas.groupBy(*KEYS).agg(F.sum("delta").alias("delta"), given.alias("threshold"))
     thr = products.select("product_id", F.col("reorder_threshold").alias("product_threshold"))
     return (
         inventory.withColumn("known", F.lit(True))
@@ -258,7 +292,7 @@ def inventory_after_moves(inventory: DataFrame, deltas: DataFrame, products: Dat
         .select(
             *KEYS,
             (whole("stock_level") + F.coalesce("delta", F.lit(0))).alias("stock_level"),
-            F.when(F.col("known"), F.col("reorder_threshold")).otherwise(whole("product_threshold")).alias("reorder_threshold"),
+            F.when(F.col("known"), F.col("reorder_threshold")).otherwise(F.coalesce("threshold", whole("product_threshold"))).alias("reorder_threshold"),
             F.when(F.col("delta").isNotNull(), F.lit(day).cast("date")).otherwise(F.col("last_updated")).alias("last_updated"),
         )
     )
@@ -349,13 +383,22 @@ def updated_status(recs: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def decision_log(decided: DataFrame) -> DataFrame:
     """Decision rows in the log layout; edited values are kept as JSON text."""
-    edited = F.to_json(F.struct("suggested_quantity", "discount_percent")) if "discount_percent" in decided.columns else F.lit("{}")
+    edited = F.col("edited_values_json") if "edited_values_json" in decided.columns else F.lit("{}")
     return align_to_schema(
         decided.withColumns({"decision_id": F.concat(F.lit("DEC-"), "recommendation_id"), "edited_values_json": edited}),
         DECISIONS,
     )
 
 
+#: What a manager can change before approving; a null value means not changed.
+EDITABLE = ["discount_percent", "suggested_quantity", "source_store", "target_store", "action_text", "priority", "manager_note"]
+
+
+def edited_json(prefix: str = "") -> Column:
+    """The changed values as JSON; values that were not changed are left out."""
+    return F.to_json(F.struct(*(F.col(prefix + c).alias(c) for c in EDITABLE)))
+
+
 # Which executor handles a type.
 EXECUTOR_OF_TYPE = {
     "discount": "price", "clearance": "price", "stock_transfer": "transfer", "transfer": "transfer", "reorder": "reorder",
@@ -372,43 +415,73 @@ def executor_of(column="recommendation_type") -> Column:
 
 
 def approve_batch(
-    context: DataFrame, inventory: DataFrame, products: DataFrame, ledger: DataFrame, day: str
+    context: DataFrame, edits: DataFrame, inventory: DataFrame, products: DataFrame, ledger: DataFrame, day: str
 ) -> dict[str, DataFrame]:
-    """Execute approved recommendations (rows of the recommendation context) in id order.
+    """Execute approved recommendations (rows of the recommendation context), one after the other by id.
 
-    Reorders are applied before transfers, so that replenished stock can be moved; within a kind the
-    order is the recommendation id. Returns the new tables, logs and one result row per recommendation.
+    `edits` holds recommendation_id and the values a manager changed (EDITABLE, as text); they replace the proposed
+    ones. Stock moves of all kinds, reorders and transfers, are one sequence per product, and so are price changes.
+    A recommendation that fails a check, or finds too little stock at its turn, changes nothing and stays pending.
+    Returns the new tables, action logs, the status, decision and outcome rows, and one result row per recommendation.
     """
-    rows = published(context.withColumn("executor", executor_of()))  # read by every executor below
-    at = f"{day} 00:00:00"
+    at = F.lit(f"{day} 00:00:00").cast("timestamp")
     key = ["recommendation_id"]
-
-    priced = applied_price_actions(
-        rows.filter("executor = 'price'")
-        .withColumn("discount_percent", F.col("recommended_discount_percent"))
-        .select("recommendation_id", "recommendation_type", "product_id", "product_name", "store_id", "action", "discount_percent"),
-        products,
-        key,
-    )
-    reorders = with_errors(
-        rows.filter("executor = 'reorder'").withColumn("quantity", F.col("suggested_quantity")),
-        positive_whole("quantity", "Reorder quantity"),
-        required_text("store_id", "Store"),
-    )
-    stocked = inventory_after_moves(inventory, reorder_deltas(reorders), products, day)
-    moved = applied_transfers(
-        rows.filter("executor = 'transfer'").select(
-            "recommendation_id", "product_id", "product_name", "source_store_id", "target_store_id",
-            F.col("suggested_quantity").alias("quantity"), F.col("action").alias("reason"),
-        ),
-        stocked,
-        key,
-    )
-    risks = rows.filter("executor = 'risk'")
-    new_inventory = inventory_after_moves(stocked, transfer_deltas(moved), products, day)
-    entries = transfer_ledger(moved).unionByName(reorder_ledger(reorders))
-    result = lambda df, error, summary: df.select("recommendation_id", error.alias("error"), summary.alias("action_summary"))
-    say = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
+    changed = edits.select("recommendation_id", *(F.col(c).alias(f"_{c}") for c in EDITABLE))
+    or_else = lambda c, proposed: F.coalesce(F.col(f"_{c}"), proposed)
+    rows = context.join(changed, "recommendation_id", "left").withColumns(
+        {
+            "executor": executor_of(),
+            "action_text": or_else("action_text", F.col("action")),
+            "manager_note": F.trim(or_else("manager_note", F.lit(""))),
+            "edited_values_json": edited_json("_"),
+            "priority": F.trim(or_else("priority", F.col("priority"))),
+        }
+    )
+    rows = published(rows)  # read by every executor below
+    logged = ["recommendation_id", "recommendation_type", "product_id", "product_name", "store_id", "manager_note"]
+    reason = F.trim("action_text").alias("reason")
+
+    offers = rows.filter("executor = 'price'").select(
+        *logged, "action_text", reason, or_else("discount_percent", F.col("recommended_discount_percent").cast("string")).alias("discount_percent")
+    )
+    offers = with_errors(offers, percent_range("discount_percent"), required_text("action_text", "Action text"))
+    priced = applied_price_actions(offers.filter("error = ''").drop("error"), products, key)
+    refused = offers.filter("error <> ''").withColumns({"old_price": F.lit(None).cast("double"), "new_price": F.lit(None).cast("double")})
+    priced = priced.unionByName(refused.select(*priced.columns)).withColumn("discount_percent", F.rint(F.col("discount_percent").try_cast("double") * 100) / 100)
+
+    quantity = F.rint(or_else("suggested_quantity", F.col("suggested_quantity").cast("string")).try_cast("double")).cast("long")
+    extra = ["supplier_id", "supplier_name", "threshold", "priority"]
+    stock_rows = rows.withColumn("quantity", quantity)
+    reorders = stock_rows.filter("executor = 'reorder'").select(
+        *logged, *extra, reason, "quantity", F.lit(None).cast("string").alias("source_store_id"), F.trim(or_else("target_store", F.col("store_id"))).alias("target_store_id")
+    )
+    reorders = with_errors(reorders, positive_whole("quantity", "Reorder quantity"), required_text("target_store_id", "Store"))
+    transfers = stock_rows.filter("executor = 'transfer'").select(
+        *logged, *extra, reason, "quantity",
+        F.trim(or_else("source_store", F.col("source_store_id"))).alias("source_store_id"),
+        F.trim(or_else("target_store", F.col("target_store_id"))).alias("target_store_id"),
+    )
+    checked = reorders.unionByName(checked_transfers(transfers).select(*reorders.columns))
+    moved = published(applied_moves(checked.filter("error = ''"), inventory, key))
+    missing = F.when(F.col("available").isNull(), "Source store inventory row is missing for this product.").otherwise(
+        F.concat(F.lit("Transfer would create negative stock at the source store. Available: "), "available", F.lit(", requested: "), "quantity", F.lit("."))
+    )
+    stock = moved.withColumn("error", F.when(F.col("accepted"), "").otherwise(missing)).drop("available")
+    stock = stock.unionByName(checked.filter("error <> ''").withColumn("accepted", F.lit(False)).select(*stock.columns))
+    is_transfer = F.col("recommendation_type").isin(*[t for t, e in EXECUTOR_OF_TYPE.items() if e == "transfer"])
+    orders, shifts = stock.filter(~is_transfer), stock.filter(is_transfer)
+    side = lambda store, delta, threshold: F.struct(store.alias("store_id"), delta.alias("delta"), threshold.alias("threshold"))
+    no_threshold = F.lit(None).cast("long")
+    changes = F.when(
+        is_transfer, F.array(side(F.col("source_store_id"), -F.col("quantity"), no_threshold), side(F.col("target_store_id"), F.col("quantity"), no_threshold))
+    ).otherwise(F.array(side(F.col("target_store_id"), F.col("quantity"), F.col("threshold").cast("long"))))
+    deltas = stock.filter("accepted").select("product_id", F.col("recommendation_id").alias("place"), F.explode(changes).alias("d")).select("product_id", "place", "d.*")
+    entries = transfer_ledger(shifts).unionByName(reorder_ledger(orders.withColumn("store_id", F.col("target_store_id"))))
+
+    risks = with_errors(rows.filter("executor = 'risk'"), required_text("action_text", "Mitigation action"))
+    unsupported = rows.filter("executor = 'unsupported'")
+    result = lambda df, error, summary: df.select("recommendation_id", error.alias("error"), summary.alias("action_summary"))
+    say = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
     percent = F.format_string("%.2f", "discount_percent")
     price_text = F.when(
         F.col("recommendation_type") == "clearance",
@@ -419,27 +492,54 @@ def approve_batch(
     )
     results = (
         result(priced, F.col("error"), price_text)
-        .unionByName(result(reorders, F.col("error"), say("Added ", F.col("quantity"), " units to store ", F.col("store_id"), " through procurement.")))
-        .unionByName(result(moved, F.col("error"), say("Transferred ", F.col("quantity"), " units from ", F.col("source_store_id"), " to ", F.col("target_store_id"), ".")))
-        .unionByName(result(with_errors(risks, required_text("action", "Mitigation action")), F.col("error"), say("Logged mitigation action: ", F.trim("action"))))
+        .unionByName(result(orders, F.col("error"), say("Added ", F.col("quantity"), " units to store ", F.col("target_store_id"), " through procurement.")))
+        .unionByName(result(shifts, F.col("error"), say("Transferred ", F.col("quantity"), " units from ", F.col("source_store_id"), " to ", F.col("target_store_id"), ".")))
+        .unionByName(result(risks, F.col("error"), say("Logged mitigation action: ", F.trim("action_text"))))
+        .unionByName(result(unsupported, say("Unsupported recommendation type '", F.col("recommendation_type"), "'."), F.lit("")))
     )
     ok = F.col("error") == ""
-    outcome = results.select(
-        "recommendation_id",
-        F.when(ok, "approved").otherwise("pending").alias("status"),
-        F.when(ok, "executed").otherwise("failed").alias("execution_status"),
-        F.when(ok, F.col("action_summary")).otherwise(F.col("error")).alias("action_summary"),
-    )
+    results = published(results.withColumn("action_summary", F.when(ok, F.col("action_summary")).otherwise(F.col("error"))))
+    done = rows.join(results.filter(ok), "recommendation_id")
+    decided = done.withColumns({"decision": F.lit("approved"), "decided_at": at, "rejection_reason": F.lit(""), "execution_status": F.lit("executed")})
+    price_rows = priced.filter(ok).withColumn("executed_at", at)
     return {
         "products": products_after_prices(products, priced, key),
-        "inventory": new_inventory,
+        "inventory": inventory_after_moves(inventory, deltas, products, day),
         "ledger": ledger_rows(entries, ledger, ["recommendation_id", "transaction_type"], day),
-        "price_updates": priced.filter("error = ''"),
-        "transfer_actions": moved.filter("accepted"),
-        "procurement_orders": reorders.filter("error = ''"),
-        "risk_actions": risk_action_log(risks, at),
-        "results": outcome,
-    }
+        "price_updates": align_to_schema(
+            price_rows.withColumns({"update_id": F.concat(F.lit("PRC-"), "recommendation_id"), "action_type": F.lit("discount")}), PRICE_UPDATES
+        ),
+        "clearance_actions": price_rows.filter("recommendation_type = 'clearance'").select(
+            F.concat(F.lit("CLR-"), "recommendation_id").alias("clearance_id"), "recommendation_id", "product_id", "product_name", "store_id", "old_price",
+            F.col("discount_percent").alias("clearance_discount_percent"), "new_price", "reason", "manager_note", "executed_at",
+        ),
+        "transfer_actions": align_to_schema(
+            shifts.filter("accepted").withColumns({"transfer_id": F.concat(F.lit("TRN-"), "recommendation_id"), "executed_at": at}), TRANSFER_ACTIONS
+        ),
+        "procurement_orders": align_to_schema(
+            orders.filter("accepted").withColumns({"procurement_id": F.concat(F.lit("PO-"), "recommendation_id"), "store_id": F.col("target_store_id"), "executed_at": at}),
+            PROCUREMENT_ORDERS,
+        ),
+        "risk_actions": align_to_schema(
+            risks.filter(ok).withColumns(
+                {"risk_action_id": F.concat(F.lit("RSK-"), "recommendation_id"), "mitigation_action": F.trim("action_text"), "status": F.lit("mitigated"), "executed_at": at}
+            ),
+            RISK_ACTIONS,
+        ),
+        "status": done.select(
+            "recommendation_id", F.lit("approved").alias("status"), "manager_note",
+            F.trim(F.coalesce("_action_text", "reason")).alias("decision_reason"), at.alias("status_updated_at"),
+        ),
+        "decisions": decision_log(decided),
+        "outcomes": done.select(
+            "recommendation_id", "recommendation_type", "product_id", "product_name", "store_id", F.col("action_summary").alias("action_taken"),
+            F.lit("executed").alias("outcome_status"), F.col("manager_note").alias("outcome_note"), at.alias("recorded_at"),
+        ),
+        "results": results.select(
+            "recommendation_id", F.when(ok, "approved").otherwise("pending").alias("status"),
+            F.when(ok, "executed").otherwise("failed").alias("execution_status"), "action_summary",
+        ),
+    }
 
 
 def reject_batch(recs: DataFrame, rejections: DataFrame) -> DataFrame:

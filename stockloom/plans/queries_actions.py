@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stockloom.operators import actions as ac
 from stockloom.plans.catalog import query
 from stockloom.plans.oracle import view
+from stockloom.plans.workspace import Workspace
 from stockloom.sources.tables import align_to_schema
 from stockloom.schemas import CUSTOMER_ORDERS
 
@@ -342,24 +343,197 @@ def _decision_log(ws):
     )
 
 
-def _approved(ws):
-    from stockloom.plans.queries_memory import _rec_context
+view("a_edits", """
+SELECT recommendation_id, CASE WHEN decision_seq % 6 = 1 THEN CAST(decision_seq % 110 AS VARCHAR) END discount_percent,
+ CASE WHEN decision_seq % 6 IN (0, 3) THEN CAST(decision_seq % 40 AS VARCHAR) END suggested_quantity,
+ CASE WHEN decision_seq % 6 = 3 THEN concat('S', decision_seq % 25) END source_store,
+ CASE WHEN decision_seq % 6 IN (3, 5) THEN concat('S', decision_seq % 4) END target_store,
+ CASE WHEN decision_seq % 6 = 2 THEN CASE WHEN decision_seq % 4 = 0 THEN ' ' ELSE concat('Edited action ', decision_seq) END END action_text,
+ CASE WHEN decision_seq % 6 = 4 THEN 'Low' END priority, CASE WHEN decision_seq % 6 IN (2, 4) THEN concat('note ', decision_seq) END manager_note
+FROM a_decided WHERE decision = 'approved'""")
 
-    run = ws.run
-    ids = _decided(ws).filter("decision = 'approved'").select("recommendation_id")
-    return ac.approve_batch(
-        _rec_context(run).join(ids, "recommendation_id", "left_semi"), ws.inventory, ws.products, ws.transactions, DAY
-    )
 
+def _edits(ws):
+    """Values that managers changed, some of them wrong."""
+    n = F.col("n")
+    when = lambda kinds, value: F.when((n % 6).isin(kinds), value)
+    last = F.max_by(F.struct("decision", "decision_seq"), F.struct("decided_at", "decision_seq")).alias("d")
+    rows = ws.decisions.groupBy("recommendation_id").agg(last).filter("d.decision = 'approved'").select("recommendation_id", F.col("d.decision_seq").alias("n"))
+    return rows.select(
+        "recommendation_id",
+        when([1], (n % 110).cast("string")).alias("discount_percent"),
+        when([0, 3], (n % 40).cast("string")).alias("suggested_quantity"),
+        when([3], F.concat(F.lit("S"), n % 25)).alias("source_store"),
+        when([3, 5], F.concat(F.lit("S"), n % 4)).alias("target_store"),
+        when([2], F.when(n % 4 == 0, " ").otherwise(F.concat(F.lit("Edited action "), n))).alias("action_text"),
+        when([4], F.lit("Low")).alias("priority"),
+        when([2, 4], F.concat(F.lit("note "), n)).alias("manager_note"),
+    )
 
-@query("approve_batch")
-def _approve(ws):
-    return _approved(ws)["results"]
 
+def _approved(ws):
+    """The whole batch, executed once per run."""
+    from stockloom.plans.queries_memory import _rec_context
 
-@query("approve_batch_inventory")
-def _approve_inventory(ws):
-    return _approved(ws)["inventory"]
+    run = ws.run
+    if not hasattr(run, "approved_batch"):
+        ids = _decided(ws).filter("decision = 'approved'").select("recommendation_id")
+        context = _rec_context(run).join(ids, "recommendation_id", "left_semi")
+        run.approved_batch = ac.approve_batch(context, _edits(ws), ws.inventory, ws.products, ws.transactions, DAY)
+    return run.approved_batch
+
+
+# The walk of the check: one recommendation after the other per product, with the stock of its stores as a map.
+view("a_batch", """
+SELECT r.*, c.threshold, c.supplier_id sup_id, c.supplier_name sup_name, c.recommended_discount_percent,
+ CASE WHEN r.recommendation_type IN ('discount', 'clearance') THEN 'price' WHEN r.recommendation_type IN ('transfer', 'stock_transfer') THEN 'transfer'
+  WHEN r.recommendation_type = 'reorder' THEN 'reorder' ELSE 'risk' END kind, coalesce(e.action_text, r."action") act, trim(coalesce(e.manager_note, '')) note,
+ trim(coalesce(e.priority, r.priority)) prio, e.action_text edited_action,
+ CAST(round_even(CAST(coalesce(e.suggested_quantity, CAST(c.suggested_quantity AS VARCHAR)) AS DOUBLE), 0) AS BIGINT) qty,
+ CASE WHEN r.recommendation_type = 'reorder' THEN NULL ELSE trim(coalesce(e.source_store, c.source_store_id)) END src,
+ trim(coalesce(e.target_store, CASE WHEN r.recommendation_type = 'reorder' THEN r.store_id ELSE c.target_store_id END)) tgt,
+ CAST(coalesce(e.discount_percent, CAST(c.recommended_discount_percent AS VARCHAR)) AS DOUBLE) pct,
+ concat('{', array_to_string(list_filter([CASE WHEN e.discount_percent IS NOT NULL THEN concat('"discount_percent":"', e.discount_percent, '"') END,
+  CASE WHEN e.suggested_quantity IS NOT NULL THEN concat('"suggested_quantity":"', e.suggested_quantity, '"') END,
+  CASE WHEN e.source_store IS NOT NULL THEN concat('"source_store":"', e.source_store, '"') END, CASE WHEN e.target_store IS NOT NULL THEN concat('"target_store":"', e.target_store, '"') END,
+  CASE WHEN e.action_text IS NOT NULL THEN concat('"action_text":"', e.action_text, '"') END, CASE WHEN e.priority IS NOT NULL THEN concat('"priority":"', e.priority, '"') END,
+  CASE WHEN e.manager_note IS NOT NULL THEN concat('"manager_note":"', e.manager_note, '"') END], lambda x: x IS NOT NULL), ','), '}') edited
+FROM r_agents r JOIN a_edits e ON e.recommendation_id = r.recommendation_id JOIN m_context c ON c.recommendation_id = r.recommendation_id""")
+view("a_checks", """
+SELECT *, CASE kind WHEN 'price' THEN CASE WHEN pct <= 0 OR pct >= 100 THEN 'Discount percentage must be between 0 and 100.' WHEN trim(act) = '' THEN 'Action text is required before approval.' ELSE '' END
+ WHEN 'risk' THEN CASE WHEN trim(act) = '' THEN 'Mitigation action is required before approval.' ELSE '' END
+ WHEN 'reorder' THEN CASE WHEN qty <= 0 THEN 'Reorder quantity must be greater than zero.' WHEN tgt = '' THEN 'Store is required before approval.' ELSE '' END
+ ELSE CASE WHEN qty <= 0 THEN 'Transfer quantity must be greater than zero.' WHEN src = '' THEN 'Source store is required before approval.' WHEN tgt = '' THEN 'Target store is required before approval.'
+  WHEN src = tgt THEN 'Source and target stores must be different.' ELSE '' END END bad FROM a_batch""")
+_BATCH = """
+WITH RECURSIVE q AS MATERIALIZED (SELECT recommendation_id, product_id, src, tgt, qty, threshold, kind, row_number() OVER (PARTITION BY product_id ORDER BY recommendation_id) rn
+ FROM a_checks WHERE kind IN ('reorder', 'transfer') AND bad = ''),
+init AS MATERIALIZED (SELECT product_id, map_from_entries(list((store_id, stock_level))) st FROM rt_inventory GROUP BY product_id),
+step AS (SELECT product_id, CAST(0 AS BIGINT) rn, '' recommendation_id, false accepted, CAST(NULL AS BIGINT) available, st FROM init
+ UNION ALL SELECT q.product_id, q.rn, q.recommendation_id, src IS NULL OR coalesce(s.st[src] >= qty, false), s.st[src],
+  CASE WHEN src IS NULL THEN map_concat(s.st, MAP {tgt: coalesce(s.st[tgt], 0) + qty})
+   WHEN coalesce(s.st[src] >= qty, false) THEN map_concat(s.st, MAP {src: s.st[src] - qty, tgt: coalesce(s.st[tgt], 0) + qty}) ELSE s.st END
+ FROM step s JOIN q ON q.product_id = s.product_id AND q.rn = s.rn + 1),
+moved AS MATERIALIZED (SELECT q.*, s.accepted, s.available FROM q JOIN step s ON s.recommendation_id = q.recommendation_id),
+p AS MATERIALIZED (SELECT recommendation_id, product_id, CAST(round_even(pct * 100, 0) AS BIGINT) basis, row_number() OVER (PARTITION BY product_id ORDER BY recommendation_id) rn
+ FROM a_checks WHERE kind = 'price' AND bad = ''),
+cut AS (SELECT product_id, CAST(0 AS BIGINT) rn, '' recommendation_id, CAST(0 AS BIGINT) was, CAST(selling_price * 100 AS BIGINT) cents, false valid FROM rt_products
+ UNION ALL SELECT p.product_id, p.rn, p.recommendation_id, c.cents, CASE WHEN round_even(c.cents * (10000 - basis) / 10000E0, 0) > 0
+  THEN CAST(round_even(c.cents * (10000 - basis) / 10000E0, 0) AS BIGINT) ELSE c.cents END, round_even(c.cents * (10000 - basis) / 10000E0, 0) > 0
+ FROM cut c JOIN p ON p.product_id = c.product_id AND p.rn = c.rn + 1),
+said AS MATERIALIZED (SELECT b.*, round_even(b.pct * 100, 0) / 100 shown_pct, c.was / 100E0 old_price, c.cents / 100E0 new_price, m.accepted,
+ CASE WHEN bad <> '' THEN bad WHEN b.kind = 'price' AND c.was = 0 THEN 'Product was not found.' WHEN b.kind = 'price' AND NOT c.valid THEN 'Discounted price must remain above zero.'
+  WHEN m.accepted THEN '' WHEN b.kind = 'transfer' THEN CASE WHEN m.available IS NULL THEN 'Source store inventory row is missing for this product.'
+   ELSE concat('Transfer would create negative stock at the source store. Available: ', m.available, ', requested: ', b.qty, '.') END ELSE '' END error
+ FROM a_checks b LEFT JOIN moved m ON m.recommendation_id = b.recommendation_id LEFT JOIN cut c ON c.recommendation_id = b.recommendation_id),
+done AS MATERIALIZED (SELECT *, CASE WHEN error <> '' THEN error WHEN kind = 'reorder' THEN concat('Added ', qty, ' units to store ', tgt, ' through procurement.')
+  WHEN kind = 'transfer' THEN concat('Transferred ', qty, ' units from ', src, ' to ', tgt, '.') WHEN kind = 'risk' THEN concat('Logged mitigation action: ', trim(act))
+  WHEN recommendation_type = 'clearance' THEN concat('Applied clearance pricing to ', printf('%.2f', new_price), ' after ', printf('%.2f', shown_pct), '% markdown.')
+  ELSE concat('Updated selling price from ', printf('%.2f', old_price), ' to ', printf('%.2f', new_price), ' (', printf('%.2f', shown_pct), '% discount).') END summary FROM said)
+"""
+_AT = "'2001-11-05 00:00:00'"
+
+
+def _returned(name, table, sql, *columns):
+    """A query over one of the tables that the batch returns."""
+
+    @query(name, _BATCH + sql)
+    def read(ws):
+        out = _approved(ws)[table]
+        return out.select(*columns) if columns else out
+
+    return read
+
+
+_returned("approve_batch", "results", """
+SELECT recommendation_id, CASE WHEN error = '' THEN 'approved' ELSE 'pending' END status, CASE WHEN error = '' THEN 'executed' ELSE 'failed' END execution_status,
+ summary action_summary FROM done""")
+_ENDS = """
+, ends AS (SELECT product_id, st FROM step QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY rn DESC) = 1),
+touch AS (SELECT product_id, store_id, arg_min(threshold, recommendation_id) threshold FROM (
+  SELECT product_id, tgt store_id, CASE WHEN src IS NULL THEN threshold END threshold, recommendation_id FROM moved WHERE accepted
+  UNION ALL SELECT product_id, src, NULL, recommendation_id FROM moved WHERE accepted AND src IS NOT NULL) t GROUP BY ALL),
+stock AS (SELECT product_id, unnest(map_keys(st)) store_id, unnest(map_values(st)) stock_level FROM ends
+ UNION ALL SELECT DISTINCT m.product_id, m.tgt, NULL FROM moved m WHERE m.product_id NOT IN (SELECT product_id FROM init)),
+after AS (SELECT e.product_id, e.store_id, e.stock_level, CASE WHEN i.product_id IS NULL THEN coalesce(t.threshold, p.reorder_threshold) ELSE i.reorder_threshold END reorder_threshold,
+ CASE WHEN t.product_id IS NULL THEN CAST(i.last_updated AS DATE) ELSE DATE '2001-11-05' END last_updated
+ FROM stock e LEFT JOIN rt_inventory i ON i.product_id = e.product_id AND i.store_id = e.store_id LEFT JOIN touch t ON t.product_id = e.product_id AND t.store_id = e.store_id
+ JOIN rt_products p ON p.product_id = e.product_id)
+"""
+_returned("approve_batch_inventory", "inventory", _ENDS + "SELECT product_id, store_id, stock_level, reorder_threshold, CAST(last_updated AS VARCHAR) last_updated FROM after")
+_returned("approve_batch_products", "products", """
+SELECT p.product_id, coalesce(c.new_price, CAST(selling_price AS DOUBLE)) selling_price FROM rt_products p LEFT JOIN (SELECT product_id, arg_max(new_price, recommendation_id) new_price
+ FROM done WHERE kind = 'price' AND error = '' GROUP BY product_id) c ON c.product_id = p.product_id""", "product_id", "selling_price")
+_returned("approve_batch_ledger", "ledger", """
+SELECT kind.t transaction_type, product_id, kind.s store_id, qty quantity, kind.r remarks, 'recommendation_execution' source FROM (
+ SELECT product_id, qty, unnest(CASE kind WHEN 'reorder' THEN [{t: 'procurement', s: tgt, r: concat('Approved reorder for recommendation ', recommendation_id)}]
+  ELSE [{t: 'transfer_out', s: src, r: concat('Approved transfer to ', tgt, ' for recommendation ', recommendation_id)},
+   {t: 'transfer_in', s: tgt, r: concat('Approved transfer from ', src, ' for recommendation ', recommendation_id)}] END) kind FROM done WHERE accepted) t""",
+          "transaction_type", "product_id", "store_id", "quantity", "remarks", "source")
+_returned("approve_batch_price_updates", "price_updates", f"""
+SELECT concat('PRC-', recommendation_id) update_id, recommendation_id, product_id, product_name, store_id, old_price, shown_pct discount_percent, new_price, trim(act) reason,
+ note manager_note, {_AT} executed_at FROM done WHERE kind = 'price' AND error = ''""",
+          "update_id", "recommendation_id", "product_id", "product_name", "store_id", "old_price", "discount_percent", "new_price", "reason", "manager_note", "executed_at")
+_returned("approve_batch_clearances", "clearance_actions", f"""
+SELECT concat('CLR-', recommendation_id) clearance_id, recommendation_id, product_id, product_name, store_id, old_price, shown_pct clearance_discount_percent, new_price, trim(act) reason,
+ note manager_note, {_AT} executed_at FROM done WHERE recommendation_type = 'clearance' AND error = ''""")
+_returned("approve_batch_transfers", "transfer_actions", f"""
+SELECT concat('TRN-', recommendation_id) transfer_id, recommendation_id, product_id, product_name, src source_store_id, tgt target_store_id, qty quantity, trim(act) reason,
+ note manager_note, {_AT} executed_at FROM done WHERE kind = 'transfer' AND error = ''""")
+_returned("approve_batch_procurement", "procurement_orders", f"""
+SELECT concat('PO-', recommendation_id) procurement_id, recommendation_id, product_id, product_name, tgt store_id, sup_id supplier_id, sup_name supplier_name, qty quantity,
+ prio priority, trim(act) reason, note manager_note, {_AT} executed_at FROM done WHERE kind = 'reorder' AND error = ''""")
+_returned("approve_batch_risks", "risk_actions", f"""
+SELECT concat('RSK-', recommendation_id) risk_action_id, recommendation_id, recommendation_type, product_id, product_name, store_id, trim(act) mitigation_action, prio priority,
+ note manager_note, 'mitigated' status, {_AT} executed_at FROM done WHERE kind = 'risk' AND error = ''""")
+_returned("approve_batch_status", "status", f"""
+SELECT recommendation_id, 'approved' status, note manager_note, trim(coalesce(edited_action, reason)) decision_reason, {_AT} status_updated_at FROM done WHERE error = ''""")
+_returned("approve_batch_decisions", "decisions", f"""
+SELECT concat('DEC-', recommendation_id) decision_id, recommendation_id, 'approved' decision, {_AT} decided_at, recommendation_type, product_id, product_name, store_id, source_agent,
+ note manager_note, '' rejection_reason, edited edited_values_json, 'executed' execution_status, summary action_summary FROM done WHERE error = ''""")
+_returned("approve_batch_outcomes", "outcomes", f"""
+SELECT recommendation_id, recommendation_type, product_id, product_name, store_id, summary action_taken, 'executed' outcome_status, note outcome_note, {_AT} recorded_at
+FROM done WHERE error = ''""")
+
+
+class _Approved:
+    """The raw tables after the batch: the datasets and analyses of a workspace over them are the refreshed ones."""
+
+    def __init__(self, ws):
+        batch = _approved(ws)
+        self.raw, self.inventory, self.products = ws.raw, batch["inventory"], batch["products"]
+        self.transactions = ws.transactions.unionByName(batch["ledger"].select(ws.transactions.columns))
+
+    def __getattr__(self, name):
+        return getattr(self.raw, name)
+
+
+def _refreshed(ws):
+    return Workspace(_Approved(ws))
+
+
+@query("approve_batch_current_inventory", _BATCH + _ENDS + """
+SELECT product_id, store_id, stock_level, reorder_threshold, CAST(last_updated AS VARCHAR) last_updated FROM after""")
+def _refreshed_inventory(ws):
+    threshold = F.col("inventory_reorder_threshold").alias("reorder_threshold")
+    return _refreshed(ws).current_inventory.select("product_id", "store_id", "stock_level", threshold, "last_updated")
+
+
+@query("approve_batch_low_stock", _BATCH + _ENDS + """
+SELECT product_id, store_id, stock_level, effective_reorder_threshold FROM (SELECT a.product_id, store_id, stock_level,
+ CASE WHEN a.reorder_threshold > 0 THEN a.reorder_threshold ELSE p.reorder_threshold END effective_reorder_threshold
+ FROM after a JOIN rt_products p ON p.product_id = a.product_id) t WHERE effective_reorder_threshold > 0 AND stock_level <= effective_reorder_threshold""")
+def _refreshed_low_stock(ws):
+    return _refreshed(ws).low_stock.select("product_id", "store_id", "stock_level", "effective_reorder_threshold")
+
+
+@query("approve_batch_changed_stock", _BATCH + _ENDS + """
+SELECT a.product_id, a.store_id, a.stock_level FROM after a JOIN v_base b ON b.product_id = a.product_id AND b.store_id = a.store_id
+WHERE a.stock_level <> b.stock_level""")
+def _refreshed_changes(ws):
+    before = ws.current_inventory.select("product_id", "store_id", F.col("stock_level").alias("was"))
+    now = _refreshed(ws).current_inventory.select("product_id", "store_id", "stock_level")
+    return now.join(before, ["product_id", "store_id"]).filter("stock_level <> was").drop("was")
 
 
 @query("reject_batch", """
