@@ -135,34 +135,34 @@ class OrderTaker(StatefulProcessor):
         self.remaining.update((int(initialState["stock"].iloc[0]),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = (pdf[ORDER_SEQUENCE].sort_values(ORDER_SEQUENCE, kind="stable") for pdf in rows)
-        first, second = next(frames, None), next(frames, None)
+        # plain tuples: most frames hold a few rows, where frames of pandas cost more than the work
+        runs = (sorted(zip(*(pdf[c].tolist() for c in ORDER_SEQUENCE))) for pdf in rows)
+        first, second = next(runs, None), next(runs, None)
         if first is None:
             return
-        stock = self.remaining.get()[0] if self.remaining.exists() else 0
+        known = self.remaining.get()
+        stock = known[0] if known is not None else 0
         if second is None:
-            sorted_frames = iter([first])
+            pieces = iter([first])
         else:
-            pieces = {run: self._put_aside(run, pdf) for run, pdf in enumerate(chain([first, second], frames))}
-            sorted_frames = self._merged(pieces)
-        for pdf in sorted_frames:
+            sizes = {number: self._put_aside(number, run) for number, run in enumerate(chain([first, second], runs))}
+            pieces = self._merged(sizes)
+        for piece in pieces:
             accepted, left = [], []
-            for quantity in pdf["quantity"].tolist():
-                ok = 0 < quantity <= stock
-                stock -= quantity if ok else 0
+            for row in piece:
+                ok = 0 < row[-1] <= stock
+                stock -= row[-1] if ok else 0
                 accepted.append(ok)
                 left.append(stock)
-            out = pdf.assign(accepted=accepted, remaining_stock=left)
-            out.insert(0, "product_id", key[0])
-            out.insert(1, "store_id", key[1])
-            yield out
-        self.remaining.update((int(stock),))
-
-    def _put_aside(self, run: int, pdf: pd.DataFrame) -> int:
-        pieces = range(0, len(pdf), PIECE)
-        for number, start in enumerate(pieces):
-            self.pending.updateValue((run, number), (pdf.iloc[start : start + PIECE].to_numpy(np.int64).tobytes(),))
-        return len(pieces)
+            columns = dict(zip(ORDER_SEQUENCE, zip(*piece)))
+            yield pd.DataFrame({"product_id": key[0], "store_id": key[1], **columns, "accepted": accepted, "remaining_stock": left})
+        self.remaining.update((stock,))
+
+    def _put_aside(self, run: int, rows: list[tuple]) -> int:
+        starts = range(0, len(rows), PIECE)
+        for number, start in enumerate(starts):
+            self.pending.updateValue((run, number), (np.array(rows[start : start + PIECE], np.int64).tobytes(),))
+        return len(starts)
 
     def _taken_up(self, run: int, pieces: int) -> Iterator[tuple]:
         for number in range(pieces):
@@ -170,10 +170,10 @@ class OrderTaker(StatefulProcessor):
             self.pending.removeKey((run, number))
             yield from map(tuple, rows.tolist())
 
-    def _merged(self, pieces: dict[int, int]) -> Iterator[pd.DataFrame]:
+    def _merged(self, pieces: dict[int, int]) -> Iterator[list[tuple]]:
         merged = heapq.merge(*(self._taken_up(run, n) for run, n in pieces.items()))
         while rows := list(islice(merged, FRAME)):
-            yield pd.DataFrame(rows, columns=ORDER_SEQUENCE)
+            yield rows
 
     def close(self) -> None:
         pass
