@@ -217,15 +217,15 @@ def _store_recs(ws):
 
 
 @query("store_inventory_text", """
-SELECT v.store_id, concat_ws(' ', concat(max(store_name), ' has ', count(*) FILTER (WHERE stock_status = 'Low Stock'), ' low-stock items'),
- concat(count(*) FILTER (WHERE stock_status = 'Overstock'), ' overstocked products'), concat('and ', count(DISTINCT product_id), ' active products.'),
- (SELECT concat(product_name, ' needs replenishment.') FROM v_view a WHERE a.store_id = v.store_id AND stock_status = 'Low Stock'
-  ORDER BY priority, shortage_quantity DESC, product_id LIMIT 1),
- (SELECT concat(product_name, ' may be considered for transfer, discount, or clearance.') FROM v_view b WHERE b.store_id = v.store_id
-  AND stock_status = 'Overstock' ORDER BY surplus_quantity DESC, current_quantity DESC, product_id LIMIT 1),
- (SELECT concat(count(*), ' active recommendations are linked to this scope.') FROM r_agents r
-  WHERE r.store_id = v.store_id OR r.alternative_store_id = v.store_id)) summary_text
-FROM v_view v GROUP BY v.store_id""")
+SELECT v.store_id, concat_ws(' ', concat(v.store_name, ' has ', low_n, ' low-stock items'), concat(over_n, ' overstocked products'), concat('and ', product_n, ' active products.'),
+ CASE WHEN low_name IS NOT NULL THEN concat(low_name, ' needs replenishment.') END,
+ CASE WHEN over_name IS NOT NULL THEN concat(over_name, ' may be considered for transfer, discount, or clearance.') END,
+ CASE WHEN rec_n IS NOT NULL THEN concat(rec_n, ' active recommendations are linked to this scope.') END) summary_text
+FROM (SELECT store_id, max(store_name) store_name, count(*) FILTER (WHERE stock_status = 'Low Stock') low_n, count(*) FILTER (WHERE stock_status = 'Overstock') over_n,
+  count(DISTINCT product_id) product_n, arg_min(product_name, (priority, -shortage_quantity, product_id)) FILTER (WHERE stock_status = 'Low Stock') low_name,
+  arg_min(product_name, (-surplus_quantity, -current_quantity, product_id)) FILTER (WHERE stock_status = 'Overstock') over_name FROM v_view GROUP BY store_id) v
+LEFT JOIN (SELECT store_id, count(*) rec_n FROM (SELECT recommendation_id, store_id FROM r_agents UNION SELECT recommendation_id, alternative_store_id FROM r_agents) r
+ GROUP BY store_id) n ON n.store_id = v.store_id""")
 def _store_text(ws):
     return sv.store_texts(ws.store_view, ws.run.agent_recommendations)
 

@@ -16,7 +16,8 @@ CHOICE = """validate_table records_export table_health analyzer_counts inventory
  category_summary_by_store transfer_opportunities exclusive_items alternative_products top_alternative_products alternative_availability
  overview_metrics sales_insights build_recommendations procurement_recs_with_memory memory_context learning_insights
  recommendation_context agent_cards executive_summary apply_orders apply_price_actions apply_transfers
- inventory_after_transfers new_alerts top_sold_by_store link_stores link_products classify_questions hash_embeddings
+ inventory_after_transfers approve_batch approve_batch_inventory approve_batch_ledger approve_batch_decisions
+ approve_batch_outcomes approve_batch_current_inventory approve_batch_low_stock question_table new_alerts top_sold_by_store link_stores link_products classify_questions hash_embeddings
  vector_search rerank_documents conversation_window stream_sales_velocity stream_apply_orders stream_ledger""".split()
 
 QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
