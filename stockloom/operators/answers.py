@@ -170,6 +170,7 @@ def _totals(sold: DataFrame, asks: DataFrame, scopes: dict[str, DataFrame]) -> t
         grain = [*keys, "product_id", "product_name", "category"]
         sums = [F.sum("quantity_sold").alias("quantity_sold"), F.sum("sales_value").alias("sales_value")]
         stores = sold.groupBy(*grain, "store_id").agg(*sums).withColumnRenamed("store_id", "in_store_id")
+        stores = stores if keys else published(stores)
         both = stores.unionByName(stores.groupBy(*grain).agg(*sums).withColumn("in_store_id", F.lit("*")))
         return both.withColumn("in_category", F.explode(F.array(F.lower(F.trim("category")), F.lit("*"))))
 
@@ -272,19 +273,20 @@ def _stock_answers(ws, asks: DataFrame, scopes: dict[str, DataFrame]) -> DataFra
     order = [F.desc("available_quantity"), F.asc("product_name"), F.asc("product_id")]
     columns = [*KEYS, "product_name", "exclusive_store_name", "available_quantity"]
     mine = no_products.filter(_of("exclusive_availability"))
-    rows = _first(_in_scope(exclusive.select(*columns), mine, scopes, order), order, limit)
+    rows = _first(_in_scope(published(exclusive.select(*columns)), mine, scopes, order), order, limit)
     lines = rows.select(*_line(place, place, ". **", product, "** is only available at ", F.col("exclusive_store_name"), " with ", F.col("available_quantity"), " units."))
     out.append(_headed(lines, mine.select(*_line(F.lit(0), "Exclusive store availability in ", _scope_name("all stores"), ":"))))
 
     order = [F.asc("opportunity_level"), F.desc("surplus_quantity"), F.asc("product_name"), F.asc("store_id")]
     columns = [*KEYS, "product_name", "store_name", "current_quantity", "surplus_quantity", "opportunity_level"]
     mine = asks.filter(_of("surplus_stock"))
-    rows = _first(_in_scope(ws.surplus_stock.select(*columns), mine, scopes, order), order, limit)
+    rows = _first(_in_scope(published(ws.surplus_stock.select(*columns)), mine, scopes, order), order, limit)
     have = [" has ", F.col("current_quantity"), " units, with ", F.col("surplus_quantity"), " units above threshold."]
     lines = rows.select(*_line(place, place, ". **", product, "** at ", F.col("store_name"), *have))
     out.append(_headed(lines, mine.select(*_line(F.lit(0), "Stores and products with extra stock:"))))
 
-    view = ws.store_view
+    measures = ["product_name", "store_name", "category", "current_quantity", "reorder_threshold", "priority", "shortage_quantity", "surplus_quantity", "stock_status"]
+    view = published(ws.store_view.select(*KEYS, *measures))  # read by every list below, scope by scope
     order = [F.asc("priority"), F.desc("shortage_quantity"), *map(F.asc, KEYS)]
     columns = [*KEYS, "product_name", "current_quantity", "reorder_threshold", "priority", "shortage_quantity"]
     mine = no_products.filter(_of("store_understock"))
@@ -322,7 +324,7 @@ def _stock_answers(ws, asks: DataFrame, scopes: dict[str, DataFrame]) -> DataFra
     out.append(counts.select(*_line(F.lit(0), F.col("label"), " has ", F.col("n"), items, " in the current data.")))
 
     mine = asks.filter(_of("general_inventory_question"))
-    levels = ws.inventory.select(*KEYS, F.coalesce(F.col("stock_level").cast("long"), F.lit(0)).alias("units"))
+    levels = view.select(*KEYS, F.col("current_quantity").alias("units"))
     whole = levels.agg(F.sum("units").alias("units")).filter("units is not null")
     whole = whole.withColumn("store_scope", F.lit("")).join(mine.filter("store_scope = '' and product_scope = ''"), "store_scope")
     some = _in_scope(levels, mine.filter("store_scope <> '' or product_scope <> ''"), scopes)
@@ -335,7 +337,7 @@ def _stock_answers(ws, asks: DataFrame, scopes: dict[str, DataFrame]) -> DataFra
 def _alternative_answers(ws, asks: DataFrame, scopes: dict[str, DataFrame], stores: DataFrame, products: DataFrame) -> DataFrame:
     """Alternatives whose low or offered side is named; a row that fits on both sides counts once."""
     sides = ["low_stock_product", "low_stock_store", "alternative_product", "alternative_store"]
-    rows = ws.alternative_availability.select(*sides, "available_quantity", "alternative_type")
+    rows = published(ws.alternative_availability.select(*sides, "available_quantity", "alternative_type"))
     order = [F.desc("alternative_type"), F.desc("available_quantity"), F.asc("alternative_product"), *map(F.asc, ["low_stock_product", "low_stock_store", "alternative_store"])]
     mine = asks.filter(_of("alternative_options"))
     named_stores = scopes["store_scopes"].join(stores.select("store_id", "store_name"), "store_id").select("store_scope", F.col("store_name").alias("_store")).distinct()
