@@ -28,8 +28,6 @@ class RecommendationConfig:
     clearance_shelf_life_multiplier: float = 1.0
     supplier_reliability_threshold: float = 0.90
     supplier_delivery_days_threshold: float = 4
-    #: Alternative records of a low row in a run; the totals of all are in `alternative_products`.
-    top_alternatives: int = 3
 
 
 def overlay(config, **overrides):

@@ -30,6 +30,21 @@ def sequential_numbers(df: DataFrame, order: list, column: str, start: Column |
     )
 
 
+def running_totals(df: DataFrame, order: list, amount: str, column: str) -> DataFrame:
+    """The sum of `amount` over all rows before each row of a total order.
+
+    As above: the rows are range-sorted once, sums run inside partitions, and one sum per partition is added up.
+    """
+    fixed = checkpointed(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()))
+    fixed = fixed.withColumn("_part", F.shiftright("_place", _ROW_BITS))
+    sums = fixed.groupBy("_part").agg(F.sum(amount).alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = sums.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.col("_before") + F.coalesce(F.sum(amount).over(inside), F.lit(0))
+    return fixed.join(F.broadcast(offsets), "_part").withColumn(column, total.cast("long")).drop("_place", "_part", "_before")
+
+
 def sequential_ids(
     df: DataFrame, order: list, prefix: str, width: int, column: str, start: Column | int = 0
 ) -> DataFrame:

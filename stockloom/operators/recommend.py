@@ -8,13 +8,14 @@ from stockloom.config import RecommendationConfig
 from stockloom.functions.exprs import (
     cover_priority,
     priority_rank,
+    prefixed,
     round2,
     round_even,
     text,
     threshold_or_product,
     whole,
 )
-from stockloom.functions.ids import sequential_ids
+from stockloom.functions.ids import sequential_numbers
 from stockloom.operators import transfers as tr
 from stockloom.operators.datasets import KEYS
 from stockloom.schemas import RECOMMENDATIONS
@@ -57,8 +58,8 @@ def _concat(*parts) -> Column:
     return F.concat(*out)
 
 
-def _records(df: DataFrame, kind: str, **values) -> DataFrame:
-    """Rows in the record layout: given columns or literals, blanks and nulls elsewhere."""
+def _records(df: DataFrame, kind: str, keep: tuple = (), **values) -> DataFrame:
+    """Rows in the record layout: given columns or literals, blanks and nulls elsewhere. Columns of `keep` stay."""
     values = {
         "recommendation_type": F.lit(kind),
         "source_agent": F.lit("recommendation_engine"),
@@ -73,7 +74,7 @@ def _records(df: DataFrame, kind: str, **values) -> DataFrame:
         default = F.lit("") if dtype.typeName() == "string" else F.lit(None)
         value = values.get(name, default)
         out.append((value if isinstance(value, Column) else F.lit(value)).cast(dtype).alias(name))
-    return df.select(*out)
+    return df.select(*out, *keep)
 
 
 def _decimals(c) -> Column:
@@ -152,24 +153,22 @@ def exclusive(exclusive_items: DataFrame) -> DataFrame:
     )
 
 
-def alternative(low_stock: DataFrame, candidates: DataFrame, top_n: int) -> DataFrame:
-    """The best row of each of the `top_n` first alternative products of a low row. How many such records the
-    whole relation has is `alternative_product_total` of `transfers.alternative_products`."""
-    return _alternative_records(tr.top_alternative_products(low_stock, candidates, top_n, one_per_product=True))
-
-
 def all_alternatives(low_stock: DataFrame, candidates: DataFrame) -> DataFrame:
     """The best row of every alternative product of a low row. The records grow with the square of a category."""
-    rows = tr.alternative_pairs(low_stock, tr.best_of_product(candidates))
+    return _alternative_records(_named_pairs(tr.alternative_pairs(low_stock, tr.best_of_product(candidates))))
+
+
+def _named_pairs(rows: DataFrame) -> DataFrame:
     names = {"low_product_id": "low_stock_product_id", "low_store_id": "low_stock_store_id", "product_id": "alternative_product_id",
              "product_name": "alternative_product", "store_id": "alternative_store_id", "store_name": "alternative_store"}
-    return _alternative_records(rows.withColumnsRenamed(names).withColumn("priority", F.when(F.col("is_exclusive"), "high").otherwise("medium")))
+    return rows.withColumnsRenamed(names).withColumn("priority", F.when(F.col("is_exclusive"), "high").otherwise("medium"))
 
 
-def _alternative_records(rows: DataFrame) -> DataFrame:
+def _alternative_records(rows: DataFrame, *keep: str) -> DataFrame:
     return _records(
         rows,
         "alternative_option",
+        keep,
         product_id=F.col("low_stock_product_id"),
         product_name=F.col("low_stock_product"),
         store_id=F.col("low_stock_store_id"),
@@ -294,9 +293,31 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def with_ids(records: DataFrame, order: list[str] = TYPE_ORDER) -> DataFrame:
-    """Dense REC ids in record order."""
-    return sequential_ids(records, record_order(order), "REC", 5, "recommendation_id").select(*RECOMMENDATIONS.names)
+def alternative_total(low: DataFrame) -> Column:
+    """Number of alternative records of the factors, as a scalar subquery."""
+    return low.agg(F.coalesce(F.sum("pairs"), F.lit(0)).cast("long").alias("n")).scalar()
+
+
+def with_places(records: DataFrame, order: list[str] = TYPE_ORDER) -> DataFrame:
+    """Records without alternatives, numbered from 1 in record order; what follows the alternatives is `after` them."""
+    after = type_rank(order=order) > order.index("alternative_option")
+    return sequential_numbers(records, record_order(order), "place").withColumn("after", after)
+
+
+def with_ids(records: DataFrame, low: DataFrame, best: DataFrame, agent: str | None = None) -> DataFrame:
+    """All records of a run with dense REC ids in record order: numbered records and those of the alternatives.
+
+    The alternatives grow with the square of a category, so they are neither sorted nor stored. They come from
+    their factors, whose pairs know their place among themselves; the other records are moved apart by their total.
+    """
+    first = records.agg(F.count_if(~F.col("after")).alias("n")).scalar()
+    others = records.withColumn("place", F.col("place") + F.when(F.col("after"), alternative_total(low)).otherwise(0))
+    pairs = tr.numbered_pairs(low, best).withColumn("place", F.col("place") + first)
+    alternatives = _alternative_records(_named_pairs(pairs), "place")
+    if agent:
+        alternatives = tagged(alternatives, agent)
+    both = others.select("place", *_BODY).unionByName(alternatives.select("place", *_BODY))
+    return both.select(prefixed("REC", "place", 5).alias("recommendation_id"), *_BODY)
 
 
 # --- agents -----------------------------------------------------------------------------------
@@ -361,11 +382,13 @@ def procurement(
     return tagged(out.select(*_BODY), "procurement_agent")
 
 
+AGENT_ORDER = [t for types in AGENT_TYPES.values() for t in types]
+
+
 def standardized(records: DataFrame) -> DataFrame:
-    """Full layout, blank status as pending, ids in the order pricing, transfer, risk, procurement."""
+    """Full layout, blank status as pending, numbered in the order pricing, transfer, risk, procurement."""
     status = F.when(text("status") == "", "pending").otherwise(F.col("status"))
-    full = align_to_schema(records, RECOMMENDATIONS).withColumn("status", status)
-    return with_ids(full, [t for types in AGENT_TYPES.values() for t in types])
+    return with_places(align_to_schema(records, RECOMMENDATIONS).withColumn("status", status), AGENT_ORDER)
 
 
 def decision_overlay(candidates: DataFrame, decisions: DataFrame, key: str = "recommendation_id") -> DataFrame:

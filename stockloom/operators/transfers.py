@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stockloom.functions.exprs import at_least_zero, cover_days, round2, round_even, text, threshold_or_product, whole
+from stockloom.functions.ids import running_totals, sequential_numbers
 from stockloom.operators.datasets import KEYS
 from stockloom.operators.stock_views import sales_velocity_30d
 
@@ -312,6 +313,47 @@ def alternative_pairs(low_stock: DataFrame, candidates: DataFrame, salts: int =
     return low.join(dealt, same & (F.col("low_product_id") != F.col("product_id"))).drop("salt")
 
 
+#: Low rows and products of a block of pairs; together they bound the pairs that one join key makes.
+LOW_BLOCK, PRODUCT_BLOCK = 4096, 512
+
+
+def numbered_factors(low_stock: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The relation of low rows and alternative products as two tables, from which every pair gets a dense place
+    in (low product, low store, alternative product) order without a sort of the pairs.
+
+    Products, each by its best row, are numbered by category and id. A low row knows the first number of its
+    category, its own product's number and how many pairs come before it. Low rows without a pair leave. Rows
+    that repeat a product and store have their own places, one after the other.
+    """
+    best = sequential_numbers(best_of_product(candidates), ["category", "product_id"], "number")
+    low = _low_rows(low_stock)
+    whole_category = best.groupBy(F.col("category").alias("low_category")).agg(
+        F.min("number").alias("first"), F.count(F.lit(1)).alias("products")
+    )
+    own = best.select(F.col("category").alias("low_category"), F.col("product_id").alias("low_product_id"), F.col("number").alias("own"))
+    low = low.join(whole_category, "low_category").join(own, ["low_category", "low_product_id"], "left")
+    low = low.withColumn("pairs", F.col("products") - F.when(F.col("own").isNotNull(), 1).otherwise(0)).filter("pairs > 0")
+    lows = low.groupBy(F.col("low_category").alias("category")).agg(F.ceil(F.count(F.lit(1)) / LOW_BLOCK).cast("int").alias("low_blocks"))
+    low = low.join(lows.withColumnRenamed("category", "low_category"), "low_category")
+    return running_totals(low, ["low_product_id", "low_store_id"], "pairs", "before"), best.join(lows, "category")
+
+
+def numbered_pairs(low: DataFrame, best: DataFrame) -> DataFrame:
+    """All pairs of the factors with their `place`, from 1. Both sides of a category are cut into blocks by counts,
+    and each block of low rows meets each block of products under its own key, however large the category."""
+    block = lambda c: F.floor(c / PRODUCT_BLOCK).cast("long")
+    left = low.select(
+        "*",
+        F.pmod(F.xxhash64("low_product_id", "low_store_id"), F.col("low_blocks")).cast("int").alias("_low"),
+        F.explode(F.sequence(block(F.col("first")), block(F.col("first") + F.col("products") - 1))).alias("_product"),
+    ).drop("low_blocks")
+    right = best.select("*", F.explode(F.sequence(F.lit(0), F.col("low_blocks") - 1)).alias("_low"), block(F.col("number")).alias("_product")).drop("low_blocks")
+    same = (F.col("low_category") == F.col("category")) & (left["_low"] == right["_low"]) & (left["_product"] == right["_product"])
+    pairs = left.join(right, same & (F.col("low_product_id") != F.col("product_id")))
+    later = F.when(F.col("own") < F.col("number"), 1).otherwise(0)
+    return pairs.withColumn("place", F.col("before") + F.col("number") - F.col("first") + 1 - later)
+
+
 def top_alternative_products(
     low_stock: DataFrame, candidates: DataFrame, top_n: int, one_per_product: bool = False
 ) -> DataFrame:

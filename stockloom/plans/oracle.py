@@ -77,11 +77,13 @@ SELECT concat('TXN', l_orderkey, '-', l_linenumber) transaction_id, CAST(l_shipd
  'synthetic' source, l_linestatus remarks
 FROM rt_lines""")
 view("rt_decisions", """
-SELECT event_id decision_seq, printf('REC%05d', 1 + event_id % 2000 * (SELECT greatest(1, count(*) * 3 // 4000) FROM lineitem)) recommendation_id, ts decided_at,
+SELECT event_id decision_seq, printf('REC%05d', 1 + CASE WHEN event_id % 10 < 5 THEN event_id // 5 * 7919 % greatest(o + a, 1)
+  ELSE event_id // 5 * 7919 % greatest(o, 1) + CASE WHEN event_id // 5 * 7919 % greatest(o, 1) >= f THEN a ELSE 0 END END) recommendation_id, ts decided_at,
  CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'approved' END decision,
  CASE event_type WHEN 'purchase' THEN 'worked' WHEN 'signup' THEN 'improved sales' WHEN 'view' THEN 'executed'
   WHEN 'click' THEN 'ineffective' ELSE 'failed' END outcome_status
-FROM events""")
+FROM events, (SELECT count(*) FILTER (WHERE recommendation_type <> 'alternative_option') o, count(*) FILTER (WHERE recommendation_type = 'alternative_option') a,
+ count(*) FILTER (WHERE recommendation_type IN ('discount', 'clearance', 'transfer', 'exclusive_availability')) f FROM r_agents) n""")
 view("rt_order_requests", """
 SELECT CAST(l_shipdate AS DATE) order_date, l_orderkey order_seq, CAST(l_linenumber AS BIGINT) line_seq,
  concat('P', l_partkey) product_id, concat('S', c_nationkey) store_id, CAST(l_quantity AS BIGINT) quantity

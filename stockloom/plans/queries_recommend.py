@@ -40,30 +40,12 @@ SELECT 'exclusive_availability' recommendation_type, product_id, product_name, e
  business_note reason, concat('category=', category, ', exclusive_store=', exclusive_store_name, ', exclusive_store_id=', exclusive_store_id,
   ', available_quantity=', available_quantity, ', unavailable_stores=', unavailable_store_names, ', unavailable_elsewhere=true') evidence,
  {_NO_QTY} FROM v_excl""")
-view("r_best_alt", """
-SELECT p.product_id low_product, c.*, row_number() OVER (PARTITION BY p.product_id
- ORDER BY is_exclusive DESC, available_quantity DESC, c.product_name, c.store_id) rn
-FROM (SELECT DISTINCT product_id, category FROM v_low) p
-JOIN (SELECT * FROM v_cand QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY is_exclusive DESC, available_quantity DESC,
- product_name, store_id) = 1) c ON c.category = p.category AND c.product_id <> p.product_id
-QUALIFY rn <= 3""")
-view("r_alternative", f"""
-SELECT 'alternative_option' recommendation_type, l.product_id, l.product_name, l.store_id, l.store_name,
- a.product_id alternative_product_id, a.product_name alternative_product_name, a.store_id alternative_store_id,
- a.store_name alternative_store_name, a.available_quantity, CASE WHEN is_exclusive THEN 'high' ELSE 'medium' END priority,
- concat('Offer ', a.product_name, ' from ', a.store_name, ' as an alternative to ', l.product_name, ' for ', l.store_name, '.') "action",
- concat(a.product_name, ' is', CASE WHEN is_exclusive THEN ' exclusively' ELSE '' END, ' available at ', a.store_name, ' with ',
-  a.available_quantity, ' units in the same ', l.category, ' category.') reason,
- concat('low_stock_product=', l.product_name, ', low_stock_store=', l.store_name, ', alternative_product=', a.product_name,
-  ', alternative_store=', a.store_name, ', category=', l.category, ', available_quantity=', a.available_quantity, ', is_exclusive=',
-  CASE WHEN is_exclusive THEN 'True' ELSE 'False' END) evidence, {_NO_QTY}
-FROM v_low l JOIN r_best_alt a ON a.low_product = l.product_id""")
 view("r_every_alt", """
 SELECT p.product_id low_product, c.*
 FROM (SELECT DISTINCT product_id, category FROM v_low) p
 JOIN (SELECT * FROM v_cand QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY is_exclusive DESC, available_quantity DESC,
  product_name, store_id) = 1) c ON c.category = p.category AND c.product_id <> p.product_id""")
-view("r_every_alternative", f"""
+view("r_alternative", f"""
 SELECT 'alternative_option' recommendation_type, l.product_id, l.product_name, l.store_id, l.store_name,
  a.product_id alternative_product_id, a.product_name alternative_product_name, a.store_id alternative_store_id,
  a.store_name alternative_store_name, a.available_quantity, CASE WHEN is_exclusive THEN 'high' ELSE 'medium' END priority,
@@ -136,8 +118,8 @@ for _kind in rc.TYPE_ORDER:
     _register_generator(_kind)
 
 
-# The whole relation; the records of a run hold only the best few of it.
-@query("all_alternative_records", f"SELECT {_BASIC}, evidence FROM r_every_alternative")
+# As pairs, without the places that the records of a run have.
+@query("all_alternative_records", f"SELECT {_BASIC}, evidence FROM r_alternative")
 def _every_alternative(ws):
     return rc.all_alternatives(ws.low_stock, ws.alternative_candidates).select(*_BASIC_COLUMNS, "evidence")
 

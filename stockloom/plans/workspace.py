@@ -143,7 +143,7 @@ class Workspace:
         return rc.exclusive(self.exclusive_items)
 
     def _make_alternative_option(self) -> DataFrame:
-        return rc.alternative(self.low_stock, self.alternative_candidates, rc.DEFAULTS.top_alternatives)
+        return rc.all_alternatives(self.low_stock, self.alternative_candidates)
 
     def _make_discount(self) -> DataFrame:
         return rc.discount(self.slow_moving, self.overstock)
@@ -161,12 +161,14 @@ class Workspace:
         return rc.stockout_alert(self.stockout)
 
     @cached_property
-    def recommendation_records(self) -> DataFrame:
-        return rc.union_all([self.records(t) for t in rc.TYPE_ORDER])
+    def alternative_factors(self) -> tuple[DataFrame, DataFrame]:
+        """Low rows and products, whose pairs are the alternative records."""
+        return tr.numbered_factors(self.low_stock, self.alternative_candidates)
 
     @cached_property
     def recommendations(self) -> DataFrame:
-        return rc.with_ids(self.recommendation_records)
+        kinds = [t for t in rc.TYPE_ORDER if t != "alternative_option"]
+        return rc.with_ids(rc.with_places(rc.union_all([self.records(t) for t in kinds])), *self.alternative_factors)
 
     @cached_property
     def supplier_context(self) -> DataFrame:
@@ -179,12 +181,27 @@ class Workspace:
     def agent_records(self, agent: str) -> DataFrame:
         if agent == "procurement_agent":
             return self.procurement_records
-        return rc.tagged(rc.union_all([self.records(t) for t in rc.AGENT_TYPES[agent]]), agent)
+        return rc.tagged(rc.union_all([self.records(t) for t in rc.AGENT_TYPES[agent] if t != "alternative_option"]), agent)
 
     @cached_property
-    def agent_recommendations(self) -> DataFrame:
+    def agent_places(self) -> DataFrame:
+        """The numbered records of all agents but the alternatives."""
         return rc.standardized(rc.union_all([self.agent_records(a) for a in rc.AGENT_TYPES]))
 
+    @cached_property
+    def agent_recommendations(self) -> DataFrame:
+        return rc.with_ids(self.agent_places, *self.alternative_factors, agent="transfer_agent")
+
+    @cached_property
+    def decisions(self) -> DataFrame:
+        """The decision history; that of a star schema names records of the whole run."""
+        if not isinstance(self.raw, StarTables):
+            return self.raw.decisions
+        run = self.run
+        counts = run.agent_places.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("after")).alias("first"))
+        one = lambda c: counts.select(c).scalar()
+        return self.raw.decisions(one("first"), rc.alternative_total(run.alternative_factors[0]), one("n"))
+
     @cached_property
     def analyzer_counts(self) -> DataFrame:
         return an.analyzer_counts(self.shared_base)
@@ -208,13 +225,13 @@ class Workspace:
     @cached_property
     def decision_memory(self) -> DataFrame:
         recs = self.agent_recommendations
-        return me.decision_memory_rows(self.raw.decisions.select("recommendation_id", "decided_at", "decision"), recs, recs.limit(0))
+        return me.decision_memory_rows(self.decisions.select("recommendation_id", "decided_at", "decision"), recs, recs.limit(0))
 
     @cached_property
     def outcome_memory(self) -> DataFrame:
         """Outcomes of the decision history; failures carry a note."""
         recs = self.agent_recommendations
-        outcomes = self.raw.decisions.select(
+        outcomes = self.decisions.select(
             "recommendation_id",
             F.col("decided_at").alias("recorded_at"),
             F.when(F.col("decision") == "approved", "applied").otherwise("").alias("action_taken"),
@@ -256,9 +273,18 @@ class Run(Workspace):
     def shared_base(self) -> DataFrame:
         return self.base
 
+    @property
+    def run(self) -> "Run":
+        return self
+
     @cached_property
-    def agent_recommendations(self) -> DataFrame:
-        return published(Workspace.agent_recommendations.func(self))
+    def alternative_factors(self) -> tuple[DataFrame, DataFrame]:
+        low, best = Workspace.alternative_factors.func(self)
+        return published(low), published(best)
+
+    @cached_property
+    def agent_places(self) -> DataFrame:
+        return published(Workspace.agent_places.func(self))
 
 
 _RUNS: dict[tuple[str, str], tuple[tuple, Run]] = {}

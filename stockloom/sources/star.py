@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 SNAPSHOT_DAY = "1998-06-01"
 LAST_UPDATED = "2001-11-04"
@@ -129,9 +129,10 @@ class StarTables:
             F.col("l_linestatus").alias("remarks"),
         )
 
-    @cached_property
-    def decisions(self) -> DataFrame:
-        """Decision and outcome history over recommendation ids."""
+    def decisions(self, first: Column, alternatives: Column, others: Column) -> DataFrame:
+        """Decision and outcome history: five events in a row name one record, in turn one of all records of a run
+        and one of those that are no alternatives. Given are how many records come before the alternatives, how
+        many these are and how many others."""
         kind = F.col("event_type")
         outcome = (
             F.when(kind == "purchase", "worked")
@@ -140,11 +141,14 @@ class StarTables:
             .when(kind == "click", "ineffective")
             .otherwise("failed")
         )
-        # 2,000 ids spread evenly over about as many records as a run makes
-        step = self.parquet("lineitem").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * 3 / 4000)).cast("long").alias("n")).scalar()
+        turn = F.floor(F.col("event_id") / 5) * 7919
+        other = turn % F.greatest(others, F.lit(1))
+        place = F.when(F.col("event_id") % 10 < 5, turn % F.greatest(others + alternatives, F.lit(1))).otherwise(
+            other + F.when(other >= first, alternatives).otherwise(0)
+        )
         return self.parquet("events").select(
             F.col("event_id").alias("decision_seq"),
-            F.format_string("REC%05d", 1 + F.col("event_id") % 2000 * step).alias("recommendation_id"),
+            F.format_string("REC%05d", place + 1).alias("recommendation_id"),
             F.col("ts").alias("decided_at"),
             F.when(kind == "error", "rejected").otherwise("approved").alias("decision"),
             outcome.alias("outcome_status"),
