@@ -8,8 +8,11 @@ rows met for the first time are scored exactly for all open queries. With v_d th
 dimension d, no unread row can score above sum(q_d * v_d): a query is closed when this bound is below
 its kth score. A bound equal to the kth score keeps it open, since an unread row of smaller id could tie.
 
-Edge cases: vectors that are null, hold null, NaN or infinite components, or have no id take no part;
-nor do components of 2^27 and more, whose scores would not fit a long. Only vectors of the query's
+Vectors with a component of 2^27 and more ("wide") stand in blocks of their own on both sides. Blocks whose
+scores may not fit a long are scored with Python's integers; a score beyond a long is the nearest long.
+
+Edge cases: vectors that are null, hold null, NaN or infinite components, or have no id take no part; a
+component whose 256-fold is infinite counts as the largest double. Only vectors of the query's
 length are its candidates. Rows that repeat an id count as one, the smallest vector. Fewer than k
 candidates give all of them; an empty table gives an empty result. Other columns are ignored.
 """
@@ -32,41 +35,63 @@ CANDIDATES = 8192
 QUERIES = 1024
 #: Values read from every list in the first round; each round reads twice as many.
 DEPTH = 32
-LARGEST = 1 << 27
+#: From this size on, components are wide and kept as doubles, which hold floor(256 * x) exactly.
+WIDE = 1 << 27
 #: Below every score.
-NOTHING = -(1 << 62)
+NOTHING = -(1 << 63)
 
 
 def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id and the 32-bit components as bytes, of the vectors that take part."""
+    """vec_id, wide, size and the components as bytes (32-bit integers, doubles if wide), of the vectors that take part."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("vector")
             sizes = np.diff(lists.offsets.to_numpy())
-            values = np.floor(scale * lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
-            values = np.where(np.isfinite(values) & (np.abs(values) < LARGEST), values, LARGEST).astype("<i4")
+            with np.errstate(over="ignore"):
+                values = np.floor(scale * lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+            values = np.nan_to_num(values)
             ends = np.cumsum(sizes)
             rows = [values[e - n : e] for e, n in zip(ends, sizes)]
-            fit = [bool((np.abs(r) < LARGEST).all()) for r in rows]
-            ids = batch.column("vec_id").filter(pa.array(fit, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([r.tobytes() for r, ok in zip(rows, fit) if ok], pa.binary())], ["vec_id", "vector"])
+            wide = [bool((np.abs(r) >= WIDE).any()) for r in rows]
+            kept = pa.array([r.astype("<f8" if w else "<i4").tobytes() for r, w in zip(rows, wide)], pa.binary())
+            columns = [batch.column("vec_id"), pa.array(wide, pa.bool_()), pa.array(sizes, pa.int32()), kept]
+            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "wide", "size", "vector"])
 
     whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    whole = whole.filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x)))
-    return whole.mapInArrow(convert, "vec_id long, vector binary").groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    whole = whole.filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    rows = whole.mapInArrow(convert, "vec_id long, wide boolean, size int, vector binary")
+    return rows.groupBy("vec_id").agg(F.min(F.struct("wide", "size", "vector")).alias("v")).select("vec_id", "v.*")
+
+
+def _matrix(vectors: pd.Series, wide: bool, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors), "<f8" if wide else "<i4").reshape(len(vectors), size)
+
 
+def _integers(values: np.ndarray) -> np.ndarray:
+    """The same whole numbers as Python's integers."""
+    return np.array([int(x) for x in values.ravel()], object).reshape(values.shape)
 
-def _matrix(vectors: pd.Series, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(vectors), "<i4").reshape(len(vectors), size // 4)
+
+def _as_long(scores: np.ndarray) -> np.ndarray:
+    """Scores as longs; those of Python's integers are cut to their range, above NOTHING."""
+    if scores.dtype != object:
+        return scores.astype(np.int64)
+    return np.array([min(max(x, NOTHING + 1), -NOTHING - 1) for x in scores.ravel()], np.int64).reshape(scores.shape)
 
 
 def threshold_search(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, depth: int = DEPTH):
     """(query, row, score) of the k best rows of each query. `ids` must rise."""
     n, width = rows.shape
-    bound = int(np.abs(rows, dtype=np.int64).max(initial=0)) * int(np.abs(queries, dtype=np.int64).max(initial=0)) * max(width, 1)
-    kind = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64
-    values, weights = rows.astype(kind), queries.astype(kind)
+    largest = lambda x: int(np.abs(x.astype(np.float64)).max(initial=0))
+    bound = largest(rows) * largest(queries) * max(width, 1)
+    if bound < 1 << 62:
+        kind = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64
+        values, weights = rows.astype(kind), queries.astype(kind)
+        edges, asked = rows.astype(np.int64), queries.astype(np.int64)
+    else:
+        values, weights = _integers(rows), _integers(queries)
+        edges, asked = values, weights
     lists = np.argsort(rows, axis=0, kind="stable")  # rising values, equal ones by rising id
     own = np.searchsorted(ids, query_ids)
     own = np.where((own < n) & (ids[np.minimum(own, n - 1)] == query_ids), own, -1)
@@ -83,7 +108,7 @@ def threshold_search(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, que
         fresh = np.flatnonzero(fresh & ~seen)
         seen[fresh] = True
         for part in np.array_split(open_, -(-len(open_) // 128)):
-            scores = (weights[part] @ values[fresh].T).astype(np.int64)
+            scores = _as_long(weights[part] @ values[fresh].T)
             found = np.broadcast_to(fresh, scores.shape)
             scores = np.where(found == own[part][:, None], NOTHING, scores)
             if scores.shape[1] > 4 * k:  # few can be among the best: those of the kth score and above
@@ -94,15 +119,14 @@ def threshold_search(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, que
             q = np.r_[np.repeat(part, k), part[hits]]
             s = np.r_[best_score[part].ravel(), scores[hits, columns]]
             r = np.r_[best_row[part].ravel(), fresh[columns]]
-            by = np.lexsort((np.where(r < 0, n, r), -s, q))
+            by = np.lexsort((np.where(r < 0, n, r), ~s, q))
             q, s, r = q[by], s[by], r[by]
             first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
             take = (first[:, None] + np.arange(k)).ravel()
             best_score[q[first]], best_row[q[first]] = s[take].reshape(-1, k), r[take].reshape(-1, k)
-        low = rows[lists[stop - 1], np.arange(width)].astype(np.int64)
-        high = rows[lists[n - stop], np.arange(width)].astype(np.int64)
-        limit = np.where(queries[open_] > 0, high, low) * queries[open_].astype(np.int64)
-        open_ = open_[limit.sum(axis=1) >= best_score[open_, -1]]
+        low, high = edges[lists[stop - 1], np.arange(width)], edges[lists[n - stop], np.arange(width)]
+        limit = np.where(queries[open_] > 0, high, low) * asked[open_]
+        open_ = open_[_as_long(limit.sum(axis=1)) >= best_score[open_, -1]]
         start = stop
     q, place = np.nonzero(best_row >= 0)
     return q, best_row[q, place], best_score[q, place]
@@ -110,20 +134,32 @@ def threshold_search(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, que
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score of the k best other vectors for every vector that `is_query` names."""
-    table = published(quantized(vectors, scale).withColumn("size", F.octet_length("vector")))
-    counts = table.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
+    table = published(quantized(vectors, scale))
+    wide = F.col("wide")
+    counts = table.agg(
+        F.count_if(~wide).alias("n"), F.count_if(wide).alias("wide_n"),
+        F.count_if(~wide & is_query).alias("q"), F.count_if(wide & is_query).alias("wide_q"),
+    ).first()
     rows, asks = max(1, -(-counts["n"] // candidates)), max(1, -(-counts["q"] // queries))
-    dealt = F.xxhash64("vec_id")
+    wide_rows, wide_asks = -(-counts["wide_n"] // candidates), -(-counts["wide_q"] // queries)
+
+    def dealt(some: int, wide_some: int) -> Column:
+        """The block of a vector; wide ones come after the others."""
+        at = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n))).cast("int")
+        return F.when(wide, at(wide_some) + some).otherwise(at(some))
+
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = table.select("size", F.pmod(dealt, F.lit(rows)).cast("int").alias("block"), all_of(asks).alias("ask"), "vec_id", "vector")
-    right = table.filter(is_query).select("size", all_of(rows).alias("block"), F.pmod(dealt, F.lit(asks)).cast("int").alias("ask"), "vec_id", "vector")
+    columns = ["wide", "vec_id", "vector"]
+    left = table.select("size", dealt(rows, wide_rows).alias("block"), all_of(asks + wide_asks).alias("ask"), *columns)
+    right = table.filter(is_query).select("size", all_of(rows + wide_rows).alias("block"), dealt(asks, wide_asks).alias("ask"), *columns)
 
     def search(_, some: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(some) or not len(asked) or not some["size"].iloc[0]:
             return pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], np.int64)})
         some = some.sort_values("vec_id", kind="stable")
         ids, query_ids, size = some["vec_id"].to_numpy(), asked["vec_id"].to_numpy(), int(some["size"].iloc[0])
-        q, r, s = threshold_search(_matrix(some["vector"], size), ids, _matrix(asked["vector"], size), query_ids, k)
+        of = lambda x: _matrix(x["vector"], bool(x["wide"].iloc[0]), size)
+        q, r, s = threshold_search(of(some), ids, of(asked), query_ids, k)
         return pd.DataFrame({"query_id": query_ids[q], "vec_id": ids[r], "score": s})
 
     keys = ["size", "block", "ask"]

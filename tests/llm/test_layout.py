@@ -2,6 +2,7 @@
 
 import math
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -142,6 +143,23 @@ def test_search_of_odd_vectors(spark, candidates, queries):
     assert topk_search.top_k(table.limit(0), F.col("vec_id") % 2 == 0).count() == 0
 
 
+@pytest.mark.parametrize("candidates,queries", [(8192, 1024), (9, 4)])
+def test_search_of_large_components(spark, candidates, queries):
+    rng = np.random.default_rng(2)
+    vectors = [(0, [600000.0, 1.0]), (1, [1.0, 2.0]), (50, [-3.0, 0.5])] + [(2 + k, [float(x) for x in rng.normal(0, 10.0 ** (k % 9), 2)]) for k in range(40)]
+    vectors += [(60, [1e300, 1.0]), (61, [-1e308, 1e308]), (62, [2.0**30, 2.0**30]), (64, [float("-inf"), 1.0])]
+    got = topk_search.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), F.col("vec_id") % 2 == 0, candidates=candidates, queries=queries).collect()
+    rows = {i: [math.floor(256 * x) for x in v] for i, v in vectors if i not in (61, 64)}
+    rows[61] = [-int(sys.float_info.max), int(sys.float_info.max)]  # 256 times the component is no double
+    as_long = lambda x: min(max(x, 1 - (1 << 63)), (1 << 63) - 1)
+    want = []
+    for q in rows:
+        if q % 2 == 0:
+            scores = sorted((-as_long(sum(a * b for a, b in zip(rows[q], row))), o) for o, row in rows.items() if o != q)
+            want += [(q, rank, o, -s) for rank, (s, o) in enumerate(scores[:5], 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_the_threshold_ends_the_search_early():
     rows = np.zeros((5000, 4), np.int32)
     rows[:, 0] = np.arange(5000)
