@@ -249,6 +249,10 @@ def _trains(doc_id: Column) -> Column:
 
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, entries: int = ENTRIES) -> DataFrame:
     """One row per document: doc_id, lang, n_signs, perplexity, threshold, kept."""
+    return _judged(docs, labels, quantile, slack, entries).drop("text_hash")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, quantile: float, slack: float, entries: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     trusted = published(_trusted_ids(labels))
     # trusted ids grow with the corpus, so they are merged with the texts at every size, never broadcast
@@ -257,7 +261,7 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack
     salt = F.xxhash64("text").alias("text_hash")  # tells rows of one doc_id apart
     scored = log_probability(rows.select("doc_id", "lang", salt, "text"), model, entries)
     perplexity = F.when(F.col("n_signs") > 0, F.exp(-F.col("log_p") / F.col("n_signs")))
-    scored = published(scored.select("doc_id", "lang", "n_signs", perplexity.alias("perplexity")))
+    scored = published(scored.select("doc_id", "lang", "text_hash", "n_signs", perplexity.alias("perplexity")))
     seen = scored.filter(~_trains(F.col("doc_id")) & F.col("perplexity").isNotNull())
     seen = published(seen.join(trusted, F.col("doc_id") == F.col("_trusted"), "left_semi").select("lang", "perplexity"))
     limit = F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000))
@@ -267,13 +271,21 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack
     out = scored.join(by_lang, scored["lang"].eqNullSafe(F.col("_lang")), "left").crossJoin(F.broadcast(whole))
     out = out.withColumn("threshold", F.coalesce("own", "whole") * slack)
     kept = F.col("n_signs").isNotNull() & (F.col("n_signs") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    return out.select("doc_id", "lang", "n_signs", "perplexity", "threshold", kept.alias("kept"))
+    return out.select("doc_id", "lang", "n_signs", "perplexity", "threshold", kept.alias("kept"), "text_hash")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, entries: int = ENTRIES) -> DataFrame:
-    """The documents that are kept, with the columns they came with. A doc_id goes when one of its rows does."""
-    bad = judged(docs, labels, quantile, slack, entries).filter("NOT kept").select(F.col("doc_id").alias("_bad"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), "text")
+    """The documents that are kept, with the columns they came with. Rows that share a doc_id, or have none, go one
+    by one, told apart by text and language."""
+    bad = _judged(docs, labels, quantile, slack, entries).filter("NOT kept").select("doc_id", "text_hash", "lang").distinct()
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"),
+        F.col("doc_id").cast("long").alias("_id"),
+        F.xxhash64("text").alias("_hash"),
+        F.col("lang").cast("string").alias("_lang"),
+        "text",
+    )
     rows = rows.filter(F.coalesce("text", F.lit("")) != "")
-    kept = rows.join(bad.filter("_bad IS NOT NULL").distinct().hint("merge"), F.col("_id") == F.col("_bad"), "left_anti")
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")) & F.col("_lang").eqNullSafe(F.col("lang"))
+    kept = rows.join(bad.hint("merge"), same, "left_anti")
     return kept.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))

@@ -80,6 +80,17 @@ def test_junk_goes_and_trusted_text_stays(spark, docs):
     assert stay.columns == docs.columns and {r.doc_id for r in stay.collect()} == {d for d, k in kept.items() if k}
 
 
+def test_rows_of_one_id_go_one_by_one(spark, docs):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    clean = [r.text for r in docs.filter("length(text) > 300 AND lang = 'en'").limit(2).collect()]
+    junk = "\u2603\u2604 \u2605\u2606\u2607 " * 40
+    more = [(7_000_001, clean[0], "en", "x", 1), (7_000_001, junk, "en", "x", 1), (None, clean[1], "en", "x", 1), (None, junk, "en", "x", 1)]
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(more, schema))
+    kept = [(r.doc_id, r.text) for r in quality.keep_good(rows, labels).filter("doc_id = 7000001 OR doc_id IS NULL").collect()]
+    assert sorted(kept, key=str) == sorted([(7_000_001, clean[0]), (None, clean[1])], key=str)
+
+
 def test_the_threshold_is_the_quantile(spark, docs):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     held = {r.doc_id for r in docs.filter(~quality._trains(F.col("doc_id"))).collect()} & {r._trusted for r in quality._trusted_ids(labels).collect()}
