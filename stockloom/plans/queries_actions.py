@@ -378,7 +378,7 @@ def _approved(ws):
     run = ws.run
     if not hasattr(run, "approved_batch"):
         ids = _decided(ws).filter("decision = 'approved'").select("recommendation_id")
-        context = _rec_context(run).join(ids, "recommendation_id", "left_semi")
+        context = _rec_context(run, run.agent_recommendations.join(ids, "recommendation_id", "left_semi"))
         run.approved_batch = ac.approve_batch(context, _edits(ws), ws.inventory, ws.products, ws.transactions, DAY)
     return run.approved_batch
 

@@ -258,9 +258,9 @@ _CONTEXT_COLUMNS = """recommendation_id recommendation_type product_id store_id
  available_quantity category is_exclusive""".split()
 
 
-def _rec_context(ws):
+def _rec_context(ws, recs=None):
     return cx.recommendation_context(
-        ws.agent_recommendations, ws.products, ws.stores, ws.suppliers, ws.inventory, ws.current_inventory, ws.analysis
+        ws.agent_recommendations if recs is None else recs, ws.products, ws.stores, ws.suppliers, ws.inventory, ws.current_inventory, ws.analysis
     )
 
 
