@@ -17,6 +17,10 @@ class StreamTables(StarTables):
             return jobs.stream_table(self.spark, self.sf_dir, name)
         return super().parquet(name)
 
+    @property
+    def order_lines(self):
+        return self.joined_lines()
+
 
 def _events(ws):
     rows = jobs.stream_table(ws.spark, ws.sf_dir, "events")
