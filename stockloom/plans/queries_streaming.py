@@ -53,7 +53,7 @@ _SALES = "(SELECT CAST(date AS TIMESTAMP) ts, product_id, store_id, quantity_sol
 
 @query("stream_sales_velocity", f"SELECT *, quantity / 7E0 daily_velocity FROM ({_windows(_SALES, ['product_id', 'store_id'], 7, 1, '1970-01-01')}) v")
 def _velocity(ws):
-    return jobs.run_upserts(jobs.sales_velocity(_sales(ws), ["product_id", "store_id"], 7), [*_WINDOW, "product_id", "store_id"])
+    return jobs.run_velocity(_sales(ws), ["product_id", "store_id"], 7)
 
 
 @query("stream_store_velocity_30d", f"SELECT *, quantity / 30E0 daily_velocity FROM ({_windows(_SALES, ['store_id'], 30, 1, '1970-01-01')}) v")
