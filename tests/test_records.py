@@ -61,3 +61,14 @@ def test_records_of_a_store(spark, run):
     places, low, best, every = run
     got = rc.of_store("S1", places, low, best, AGENT)
     assert rows_of(got) == rows_of(sv.recommendations_for_store(every, "S1").select(*got.columns))
+
+
+def test_numbered_records_are_written_once(spark):
+    rows = [("transfer", f"P{i % 7}", f"S{i % 3}") for i in range(50)] + [("discount", None, "S1"), ("stockout_prevention_alert", "P1", "S1")] * 2
+    records = align_to_schema(spark.createDataFrame(rows, "recommendation_type string, product_id string, store_id string").repartition(5), RECOMMENDATIONS)
+    placed = rc.with_places(records)
+    assert placed.inputFiles()  # a table whose scans read the asked columns, where a checkpoint has none
+    got = sorted((r.place, rc.TYPE_ORDER.index(r.recommendation_type), r.product_id or "", r.store_id, r.after) for r in placed.collect())
+    assert [r[0] for r in got] == list(range(1, 55))
+    assert [r[1:4] for r in got] == sorted(r[1:4] for r in got)
+    assert all(r[4] == (r[1] > rc.TYPE_ORDER.index("alternative_option")) for r in got)
