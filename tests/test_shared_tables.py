@@ -7,7 +7,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from stockloom.operators import actions as ac, datasets as ds
+from stockloom.operators import actions as ac, datasets as ds, recommend as rc
+from stockloom.plans.workspace import Workspace
 from stockloom.sources.star import StarTables
 from stockloom.streaming import jobs
 
@@ -108,3 +109,31 @@ def test_velocity_windows_over_batches_late_rows_and_a_restart(spark, tmp_path):
     assert run() == want()  # nothing new
     arrive((28, "a", 64), (2, "a", 128), (11, "b", 256))  # two rows weeks late
     assert run() == want()
+
+
+BASE = """product_id string, store_id string, product_name string, stock_level long, effective_reorder_threshold long, recent_daily_sales_velocity double,
+ days_of_stock_remaining double"""
+
+
+def test_discounts_make_the_base_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(stock):
+        seen.add(1)
+        return stock
+
+    # slow and overstocked, overstocked only, neither, slow only, no velocity
+    rows = [("P1", "S1", "a", 90, 10, 0.5, 180.0), ("P2", "S1", "b", 900, 10, 9.0, 100.0), ("P3", "S1", "c", 5, 10, 8.0, 0.6), ("P4", "S1", "d", 5, 10, 0.1, 20.0), ("P5", "S1", "e", 5, 10, 0.0, None)]
+    ws = Workspace(None)
+    ws.base = spark.createDataFrame(rows, BASE).withColumn("stock_level", F.udf(count, "long")("stock_level"))
+    got = sorted((r.product_id, r.product_name, r.evidence != "") for r in ws.records("discount").collect())
+    assert got == [("P1", "a", True), ("P2", "b", True)]
+    assert seen.value == len(rows)
+
+
+def test_a_slow_row_with_short_cover_bars_its_pair(spark):
+    schema = "product_id string, store_id string, product_name string, days_of_stock_remaining double, evidence string"
+    slow = spark.createDataFrame([("P1", "S1", "a", 1.0, "slow"), ("P2", "S1", "b", 900.0, "slow"), ("P3", None, "c", None, "slow"), ("P5", "S1", None, 900.0, None)], schema)
+    over = spark.createDataFrame([(p, s, "o", 900.0, "over") for p, s in (("P1", "S1"), ("P2", "S1"), ("P3", None), ("P4", "S1"), ("P5", "S1"), (None, "S1"))] + [("P6", "S1", "o", 1.0, "over")], schema)
+    got = sorted((r.product_id, r.product_name, r.evidence) for r in rc.discount(slow, over).collect())
+    assert got == [("", "o", "over"), ("P2", "b", "slow"), ("P4", "o", "over"), ("P5", "", None)]
