@@ -72,3 +72,37 @@ def test_numbered_records_are_written_once(spark):
     assert [r[0] for r in got] == list(range(1, 55))
     assert [r[1:4] for r in got] == sorted(r[1:4] for r in got)
     assert all(r[4] == (r[1] > rc.TYPE_ORDER.index("alternative_option")) for r in got)
+
+
+def test_factors_make_the_low_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(name):
+        seen.add(1)
+        return name
+
+    cand = spark.createDataFrame([(f"P{i}", "S0", f"n{i}", "s0", "AB"[i % 2], False, i) for i in range(8)],
+        "product_id string, store_id string, product_name string, store_name string, category string, is_exclusive boolean, available_quantity long")
+    low = spark.createDataFrame([("P1", "n1", "S0", "s0", "B"), ("P3", "n3", "S0", "s0", "B"), ("P9", "n9", "S0", "s0", None)], "product_id string, product_name string, store_id string, store_name string, category string")
+    low, best = tr.numbered_factors(low.withColumn("product_name", F.udf(count, "string")("product_name")), cand)
+    before = seen.value
+    assert sorted((r.product_id, r.low_blocks) for r in best.collect()) == [("P1", 1), ("P3", 1), ("P5", 1), ("P7", 1)]
+    assert seen.value == before
+    assert sorted((r.low_product_id, r.pairs, r.before) for r in low.collect()) == [("P1", 3, 0), ("P3", 3, 3)]
+
+
+def test_rows_of_ids_reach_all_records_without_a_join_by_id(spark, run):
+    places, low, best, every = run
+    decided = every.select("recommendation_id").filter(F.xxhash64("recommendation_id") % 50 == 0)
+    odd = spark.createDataFrame([("REC000001",), ("REC99999999",), ("REC00000",), ("none",), (None,)], "recommendation_id string")
+    events = published(decided.unionByName(odd)).withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
+    text = F.when(F.col("n") == 2, F.concat(F.lit("d"), F.col("recommendation_id"))).otherwise("old")
+    events = events.select("recommendation_id", F.col("n").alias("decided_at"), text.alias("decision"))
+    whole = lambda rows: rc.joined_records(rows, places, low, best, AGENT)
+    got = me.apply_latest_decisions(every, events, "decision", whole)
+    want = me.apply_latest_decisions(every, events, "decision")
+    columns = [c for c in want.columns if c in ("recommendation_id", "recommendation_type", "product_id", "store_id", "priority", "status", "alternative_product_id")]
+    assert rows_of(got.select(*columns)) == rows_of(want.select(*columns))
+    assert want.filter("status LIKE 'dREC%'").count() > 1000 and want.filter("status = 'pending'").count() > 100_000
+    joins_by_id = lambda df: "Join [recommendation_id" in df.select(*columns)._jdf.queryExecution().executedPlan().toString()
+    assert joins_by_id(want) and not joins_by_id(got)
