@@ -137,3 +137,13 @@ def test_a_slow_row_with_short_cover_bars_its_pair(spark):
     over = spark.createDataFrame([(p, s, "o", 900.0, "over") for p, s in (("P1", "S1"), ("P2", "S1"), ("P3", None), ("P4", "S1"), ("P5", "S1"), (None, "S1"))] + [("P6", "S1", "o", 1.0, "over")], schema)
     got = sorted((r.product_id, r.product_name, r.evidence) for r in rc.discount(slow, over).collect())
     assert got == [("", "o", "over"), ("P2", "b", "slow"), ("P4", "o", "over"), ("P5", "", None)]
+
+
+def test_products_find_their_supplier_once(spark, tmp_path):
+    star = _star(spark, str(tmp_path))
+    part = [(10, "bolt", "Brand#1", 10.5, 3), (20, "nut", "Brand#2", 2.0, None), (30, None, "Brand#1", 1.0, 4), (10, "bolt", "Brand#1", 10.5, 3)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_retailprice double, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    assert "Join" not in _plan(star.products)
+    got = sorted((r.product_id, r.product_name or "", r.supplier_id or "") for r in star.products.collect())
+    assert got == [("P10", "bolt 10", "SUP1"), ("P10", "bolt 10", "SUP1"), ("P20", "nut 20", "SUP1"), ("P30", "", "")]
+    assert StarTables(spark, str(tmp_path)).products.inputFiles() == star.products.inputFiles()
