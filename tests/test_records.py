@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stockloom.operators import context as cx, memory as me, recommend as rc, stock_views as sv, transfers as tr
+from stockloom.operators import context as cx, memory as me, recommend as rc, record_search as rs, retrieval as rt, stock_views as sv, transfers as tr
 from stockloom.schemas import RECOMMENDATIONS
 from stockloom.session import published
 from stockloom.sources.tables import align_to_schema
@@ -106,3 +106,18 @@ def test_rows_of_ids_reach_all_records_without_a_join_by_id(spark, run):
     assert want.filter("status LIKE 'dREC%'").count() > 1000 and want.filter("status = 'pending'").count() > 100_000
     joins_by_id = lambda df: "Join [recommendation_id" in df.select(*columns)._jdf.queryExecution().executedPlan().toString()
     assert joins_by_id(want) and not joins_by_id(got)
+
+
+def test_search_finds_alternatives_by_their_factors(spark, run, monkeypatch):
+    k = 3
+    places, low, best, every = run
+    texts = ["offer name5 for store0", "P001 low", "exclusively available name90 at store1", "REC00030 rec100007 REC99999 medium", "clearance why 3", "P100 P105 high S0", "name0", "rec0000 none"]
+    questions = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "question_id long, question string")
+    want = rows_of(rt.keyword_search(questions, rs.record_documents(every, 6), k))
+    assert len(want) == k * (len(texts) - 1) and any("alternative" not in r for r in want)
+    numbered = rs.record_documents(rc.without_alternatives(places, low), 6)
+    alternatives = rs.alternative_profiles(rt.asked_words(questions), low, best, rc.before_alternatives(places), k, 6, AGENT)
+    assert alternatives.count() < 20_000
+    for often in (1, 1_000_000):  # common words only save work
+        monkeypatch.setattr(rt, "COMMON", often)
+        assert rows_of(rt.keyword_search(questions, numbered, k, more=alternatives)) == want
