@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from stockloom.functions.ids import text_rank
 from stockloom.operators import context as cx, memory as me, recommend as rc, record_search as rs, retrieval as rt, stock_views as sv, transfers as tr
 from stockloom.schemas import RECOMMENDATIONS
 from stockloom.session import published
@@ -121,3 +122,62 @@ def test_search_finds_alternatives_by_their_factors(spark, run, monkeypatch):
     for often in (1, 1_000_000):  # common words only save work
         monkeypatch.setattr(rt, "COMMON", often)
         assert rows_of(rt.keyword_search(questions, numbered, k, more=alternatives)) == want
+
+
+def test_ids_rank_as_texts_without_a_sort(spark):
+    for total in (1, 9, 10, 99, 100, 1234, 100_000):
+        ids = [f"{i:02d}" for i in range(1, total + 1)]
+        got = spark.range(1, total + 1).select("id", text_rank(F.col("id"), total, 2).alias("n")).collect()
+        ranks = {text: n for n, text in enumerate(sorted(ids), 1)}
+        assert all(r.n == ranks[f"{r.id:02d}"] for r in got)
+    large = spark.range(1).select(*[text_rank(F.lit(n), 10**12, 5).alias(f"n{n}") for n in (1, 10**12)]).first()
+    assert tuple(large) == (1, len(set(range(5, 14))) + 9999)
+
+
+def test_memory_of_records_by_their_factors(spark, run):
+    places, low, best, every = run
+    n = every.count()
+    number = rc.id_rank(places, low)
+    want = me.recommendation_memory_rows(every, every.limit(0), "2001-11-05 08:00:00")
+    got = me.recommendation_memory_rows(every, every.limit(0), "2001-11-05 08:00:00", number)
+    assert got.columns == want.columns and got.exceptAll(want).count() == 0 and n == want.count()
+    named = every.filter(F.xxhash64("recommendation_id") % 50 == 0).select("recommendation_id")
+    decided = named.select(F.concat(F.lit("MEM"), "recommendation_id").alias("memory_id"), "recommendation_id", F.lit("2001-11-06").cast("timestamp").alias("recorded_at"),
+                           F.lit("approved").alias("decision"))
+    outcomes = decided.filter(F.xxhash64("recommendation_id") % 100 == 0).drop("decision").withColumns(
+        {"action_taken": F.lit("applied"), "outcome_status": F.lit("worked"), "outcome_note": F.lit("")})
+
+    def joined(rows):
+        return me.recommendation_memory_rows(rc.joined_records(rows, places, low, best, AGENT), every.limit(0), "2001-11-05 08:00:00", number, rows.columns[1:])
+
+    columns = ["memory_id", "recommendation_id", "product_id", "decision", "action_taken", "outcome_status", "decision_recorded_at"]
+    whole, feedback = me.feedback_rows(want, decided, outcomes).select(*columns), me.feedback_rows(got, decided, outcomes, joined).select(*columns)
+    assert feedback.exceptAll(whole).count() == 0 and whole.exceptAll(feedback).count() == 0
+    joins_by_id = lambda df: df.select("memory_id", "decision")._jdf.queryExecution().executedPlan().toString().count("Join [recommendation_id")
+    assert joins_by_id(whole) == 2 and joins_by_id(feedback) == 1  # that of decisions and outcomes
+
+
+def test_memory_counts_and_store_counts_of_digests(spark, run):
+    places, low, best, every = run
+    digest = rc.record_digest(places, low, best, AGENT)
+    detail = every.limit(0).select("recommendation_id", *me.MEMORY_KEYS)
+    none = detail.select(F.lit("").alias("memory_id"), F.lit(None).cast("timestamp").alias("recorded_at"), *me.MEMORY_KEYS, *[F.lit("").alias(c) for c in ("decision", "outcome_status", "outcome_note")])
+    assert rows_of(me.memory_context(digest, none, none)) == rows_of(me.memory_context(every, none, none))
+    assert me.system_memory_summary(digest, none, none).first() == me.system_memory_summary(every, none, none).first()
+    view = spark.createDataFrame([(s, f"store{s}", "P1", "one", "Low Stock", "High", 1, 1, 1) for s in ("S0", "S1", "S2")],
+        "store_id string, store_name string, product_id string, product_name string, stock_status string, priority string, shortage_quantity long, surplus_quantity long, current_quantity long")
+    assert rows_of(sv.store_texts(view, rc.store_digest(places, low, best))) == rows_of(sv.store_texts(view, every))
+
+
+def test_overlay_reaches_all_records_without_a_join_by_id(spark, run):
+    places, low, best, every = run
+    ids = every.select("recommendation_id").filter(F.xxhash64("recommendation_id") % 50 == 0)
+    kind = F.pmod(F.xxhash64("recommendation_id", F.lit(1)), F.lit(4))
+    review = ids.select("recommendation_id", (kind != 0).alias("keep_recommendation"), F.when(kind == 1, "hold").when(kind == 2, "clearance").alias("selected_strategy"),
+                        F.when(kind == 3, "low").alias("priority"), *[F.lit(None).cast("string").alias(c) for c in ("action", "reason", "evidence")])
+    review = published(review)
+    columns = ["recommendation_id", "recommendation_type", "product_id", "store_id", "priority", "action", "reason"]
+    want = rc.decision_overlay(every, review).select(*columns)
+    got = rc.decision_overlay(every, review, joined_with=lambda rows: rc.joined_records(rows, places, low, best, AGENT)).select(*columns)
+    assert 100_000 < want.count() < every.count() and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert "Join [recommendation_id" not in got._jdf.queryExecution().executedPlan().toString()
