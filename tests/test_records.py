@@ -1,5 +1,7 @@
 """Records of a run through their factors: digests, named records and records of a store equal those of all records."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,8 +155,9 @@ def test_memory_of_records_by_their_factors(spark, run):
     columns = ["memory_id", "recommendation_id", "product_id", "decision", "action_taken", "outcome_status", "decision_recorded_at"]
     whole, feedback = me.feedback_rows(want, decided, outcomes).select(*columns), me.feedback_rows(got, decided, outcomes, joined).select(*columns)
     assert feedback.exceptAll(whole).count() == 0 and whole.exceptAll(feedback).count() == 0
-    joins_by_id = lambda df: df.select("memory_id", "decision")._jdf.queryExecution().executedPlan().toString().count("Join [recommendation_id")
-    assert joins_by_id(whole) == 2 and joins_by_id(feedback) == 1  # that of decisions and outcomes
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    by_id = re.compile(r"Join \[recommendation_id[^\n]*LeftOuter")
+    assert by_id.search(plan(whole)) and not by_id.search(plan(feedback))
 
 
 def test_memory_counts_and_store_counts_of_digests(spark, run):
